@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.minhash import op4_minhash
 from granary.llm.packing import op1_packing
+from granary.llm.secrets import op9_secret_scan
 from granary.llm.sharding import op3_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op4_minhash": op4_minhash,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {}
