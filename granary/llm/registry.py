@@ -10,11 +10,13 @@ from granary.llm.minhash import op4_minhash
 from granary.llm.packing import op1_packing
 from granary.llm.secrets import op9_secret_scan
 from granary.llm.sharding import op3_sharding
+from granary.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
     "op4_minhash": op4_minhash,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
 }
 
