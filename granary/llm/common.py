@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK64 = (1 << 64) - 1
 
@@ -45,16 +44,9 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
-    """``mapInArrow`` with a per-task function: ``make()`` runs once in each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
-
-    return df.mapInArrow(run, schema)
+def schema_with(df: DataFrame, added: str) -> T.StructType:
+    """The schema of ``df`` followed by the columns of a DDL string."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(added).fields])
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:

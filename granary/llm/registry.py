@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm import topk
+from granary.llm.ann import op7_ann
+from granary.llm.langid import op2_language
 from granary.llm.minhash import op4_minhash
 from granary.llm.packing import op1_packing
 from granary.llm.secrets import op9_secret_scan
@@ -14,10 +17,13 @@ from granary.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_minhash": op4_minhash,
+    "op6_top_k": topk.op6_top_k,
+    "op7_ann": op7_ann,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_top_k": topk.SQL}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import held_out, materialise, mix64, read_table
+from granary.llm.common import held_out, materialise, mix64, read_table, schema_with
 from granary.llm.tokens import segments
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     if model is None:
         return rows.select(*keep, F.lit(0.0).alias("toxicity"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rows.drop("__text").schema.add("toxicity", "double")
+    schema = schema_with(rows.drop("__text"), "toxicity double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
