@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from granary.llm import topk
 from granary.llm.ann import op7_ann
 from granary.llm.langid import op2_language
+from granary.llm.lines import op10_line_dedup
 from granary.llm.minhash import op4_minhash
 from granary.llm.packing import op1_packing
 from granary.llm.secrets import op9_secret_scan
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ann": op7_ann,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {"op6_top_k": topk.SQL}
