@@ -12,6 +12,7 @@ from granary.llm.langid import op2_language
 from granary.llm.lines import op10_line_dedup
 from granary.llm.minhash import op4_minhash
 from granary.llm.packing import op1_packing
+from granary.llm.pieces import op5_pieces
 from granary.llm.secrets import op9_secret_scan
 from granary.llm.sharding import op3_sharding
 from granary.llm.toxicity import op8_toxicity
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_minhash": op4_minhash,
+    "op5_pieces": op5_pieces,
     "op6_top_k": topk.op6_top_k,
     "op7_ann": op7_ann,
     "op8_toxicity": op8_toxicity,
