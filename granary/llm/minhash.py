@@ -10,12 +10,13 @@
    probability of reaching the threshold falls under ``miss``.
 4. Survivors are verified exactly on their full shingle sets.
 5. The links join nodes into components. Bucket members that are still in
-   different components are then paired, verified likewise, and the
+   different components are then compared within cells of bounded size, and
+   only likely pairs leave a cell; they are verified likewise, and the
    components are formed again. Pairs inside one component add nothing to it,
    so groups of thousands of near copies cost a star, not all their pairs.
 
-With 32 bands of 5 a pair at similarity 0.8 shares no band with probability
-3e-6; ``miss`` adds at most 5e-6.
+With 44 bands of 6 a pair at similarity 0.8 shares no band with probability
+1.5e-6; ``miss`` adds at most 5e-6.
 """
 
 from __future__ import annotations
@@ -33,19 +34,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.blocks import Bloom, across_components
 from granary.llm.common import binary_rows, materialise, mix64, read_table, texts_of
 from granary.llm.components import components
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Shingle width, threshold in percent, bands, rows a band, signature batch and miss probability."""
+    """Shingle width, threshold in percent, bands, rows a band; signature positions compared, by batch; miss probability.
+
+    ``cell`` bounds the members of a bucket that one task compares with as many others.
+    """
 
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
-    batch: int = 32
+    bands: int = 44
+    rows: int = 6
+    batch: int = 33
+    compared: int = 165
+    cell: int = 512
     miss: float = 1e-6
     seed: int = 7
 
@@ -76,11 +83,11 @@ def signer(plan: Plan):
     b = rng.integers(0, 1 << 63, plan.hashes, dtype=np.uint64)[:, None]
 
     def sign(values: np.ndarray) -> np.ndarray:
-        """The least upper 32 bits of each of the hash functions over the set."""
+        """The least upper 32 bits of each of the hash functions over the set, cut to their low 16 bits."""
         least = np.full(plan.hashes, 0xFFFFFFFF, dtype=np.uint64)
         for i in range(0, len(values), 2048):
             np.minimum(least, ((values[None, i : i + 2048] * a + b) >> np.uint64(32)).min(axis=1), out=least)
-        return least.astype(np.uint32)
+        return least.astype(np.uint16)
 
     return sign
 
@@ -91,7 +98,7 @@ def least_matches(plan: Plan) -> list[int]:
     P(similarity >= t | m of n) under a flat prior is P(Binomial(n + 1, t) <= m).
     """
     t, found = plan.percent / 100, []
-    for n in range(plan.batch, plan.hashes + 1, plan.batch):
+    for n in range(plan.batch, plan.compared + 1, plan.batch):
         total, m = 0.0, 0
         while True:
             total += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
@@ -129,6 +136,22 @@ def shingled(docs: DataFrame, plan: Plan, id_col: str, text_col: str, passed: li
     return source.mapInArrow(run, schema)
 
 
+def _prune(left: np.ndarray, right: np.ndarray, plan: Plan, bounds: list[int]) -> np.ndarray:
+    """Positions of the signature pairs that stay likely through every batch."""
+    alive, matches = np.arange(len(left)), np.zeros(len(left), dtype=np.int64)
+    for k, need in enumerate(bounds):
+        part = slice(k * plan.batch, (k + 1) * plan.batch)
+        matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
+        alive = alive[matches[alive] >= need]
+        if not len(alive):
+            break
+    return alive
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (u, v) whose signatures leave the threshold likely enough."""
     with_sigs = (
@@ -140,45 +163,41 @@ def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     bounds = least_matches(plan)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(n, -1) for c in ("su", "sv"))
-            alive, matches = np.arange(n), np.zeros(n, dtype=np.int64)
-            for k, need in enumerate(bounds):
-                part = slice(k * plan.batch, (k + 1) * plan.batch)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= need]
-                if not len(alive):
-                    break
-            yield batch.select(["u", "v"]).take(pa.array(alive))
+        for b in batches:
+            if b.num_rows:
+                alive = _prune(_signatures(b.column("su")), _signatures(b.column("sv")), plan, bounds)
+                yield b.select(["u", "v"]).take(pa.array(alive))
 
     return with_sigs.mapInArrow(prune, "u long, v long")
 
 
+def _likely_across(members: DataFrame, plan: Plan) -> DataFrame:
+    """The likely pairs of bucket members in different components; ``members`` has key, node, root, n_shingles, sig."""
+    bounds = least_matches(plan)
+
+    def check(held: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size, sig = held.column("n_shingles").to_numpy(), _signatures(held.column("sig").combine_chunks())
+        fits = np.flatnonzero(np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * plan.percent)
+        return fits[_prune(sig[a[fits]], sig[b[fits]], plan, bounds)]
+
+    return across_components(members, check, plan.cell)
+
+
 def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold; exact."""
     needed = pairs.select(F.col("u").alias("__row")).union(pairs.select("v")).distinct()
-    texts = base.select("__row", "__text").join(needed, "__row", "left_semi")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                batch = whole.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array([shingles(t, plan.words).tobytes() for t in texts_of(batch, "__text")], pa.binary())], names=["node", "set"])
-
-    full = materialise(texts.mapInArrow(sets, "node long, set binary"), "sets")
-    both = pairs.join(full.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(full.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v").select("u", "v", "su", "sv")
+    texts = materialise(Bloom(needed, "__row").rows(base.select("__row", "__text"), "__row").join(needed, "__row", "left_semi"), "texts")
+    both = pairs.join(texts.select(F.col("__row").alias("u"), F.col("__text").alias("tu")), "u").join(texts.select(F.col("__row").alias("v"), F.col("__text").alias("tv")), "v").select("u", "v", "tu", "tv")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("su"), batch.column("sv"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * shared >= plan.percent * (len(a) + len(b) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                b, keep = whole.slice(i, 200), []
+                for left, right in zip(texts_of(b, "tu"), texts_of(b, "tv"), strict=True):
+                    x, y = shingles(left, plan.words), shingles(right, plan.words)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * shared >= plan.percent * (len(x) + len(y) - shared))
+                yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(verify, "u long, v long")
 
@@ -189,7 +208,7 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     groups = filled.groupBy("digest").agg(F.min("__row").alias("node"))
     nodes = filled.select(F.col("__row").alias("node"), "n_shingles", "sig").join(groups.select("node"), "node", "left_semi")
     nodes = materialise(nodes, "nodes")
-    width = 4 * plan.rows
+    width = 2 * plan.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(plan.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
     banded = nodes.select("node", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
@@ -202,11 +221,8 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     # members of one bucket that the stars left in different components
     open_ = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-    sized = materialise(open_.join(mixed, "key", "left_semi").join(nodes.select("node", "n_shingles"), "node"), "open")
-    left, right = (sized.select("key", *[F.col(c).alias(c + s) for c in ("node", "root", "n_shingles")]) for s in "12")
-    across = left.join(right, "key").filter((F.col("root1") < F.col("root2")) & (F.least("n_shingles1", "n_shingles2") * 100 >= F.greatest("n_shingles1", "n_shingles2") * plan.percent))
-    more = across.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    likely = materialise(_likely(materialise(more, "more"), nodes, plan), "likely")
+    members = open_.join(mixed, "key", "left_semi").join(nodes, "node")
+    likely = materialise(_likely_across(members, plan).join(stars, ["u", "v"], "left_anti"), "likely")
     if not likely.isEmpty():
         found = materialise(_verified(likely, base, plan), "links")
         roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
