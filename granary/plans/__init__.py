@@ -1 +1,6 @@
+"""Named queries of the library; importing this package registers all of them."""
 
+from granary.plans import chunk_queries, search_queries, table_queries, text_queries
+from granary.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "chunk_queries", "search_queries", "table_queries", "text_queries"]
