@@ -130,7 +130,11 @@ def test_token_bucket_in_a_stream(spark, sf, tmp_path):
     e = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
-    found = drain(state.token_bucket(live, 1 / 3600, 3.0), tmp_path)
+    # timers keep such a query running, so it is stopped once the input is read
+    q = state.token_bucket(live, 1 / 3600, 3.0).writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    found = spark.table("buckets")
     key = lambda df: sorted((r.request_id, r.allowed, round(r.tokens, 6)) for r in df.collect())
     assert key(found) == key(state.token_bucket_batch(e, 1 / 3600, 3.0))
 
