@@ -11,7 +11,7 @@ from granary.llm.common import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A node absent from the result is its own root. Minima are folded before
     each shuffle, so the hub of a large group costs no more than its edges.
     """
-    now = materialise(edges.select("u", "v").filter(F.col("u") != F.col("v")).distinct(), "edges")
-    mark = None
+    now = edges.select("u", "v").filter(F.col("u") != F.col("v"))
     for _ in range(most_rounds):
         now = materialise(_small_star(_large_star(now)), "stars")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40)))).first())
-        if seen == mark:
+        # done when the edges are stars: no root has a root itself, no node has two
+        roots = now.select(F.col("v").alias("u"), F.lit(1).alias("n")).distinct()
+        more = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).unionByName(roots.withColumn("n", F.lit(1).cast("long")))
+        if more.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():
             return now.select("u", F.col("v").alias("root"))
-        mark = seen
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -241,14 +241,16 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str =
     seen = materialise(occurrences(base, p), "occurrences")
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("line_no").alias("no"))
     each = seen.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    grouped = each.join(links(base, p).withColumnRenamed("u", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    linked = links(base, p)
+    named = linked.select("u", "root").unionByName(linked.select(F.col("root").alias("u"), "root").distinct())
+    grouped = each.join(named.withColumnRenamed("u", "line"), "line", "left").filter((F.col("n") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "line"))
     size = grouped.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all")).filter(F.col("all") > 1)
     repeated = materialise(grouped.join(size, "root").select("line", "kept"), "repeated")
     gone = seen.join(repeated, "line").filter(~((F.col("kept.row") == F.col("__row")) & (F.col("kept.no") == F.col("line_no"))))
     gone = materialise(gone.groupBy("__row").agg(F.array_sort(F.collect_list("line_no")).alias("removed_lines")), "gone")
 
     touched = Bloom(gone, "__row")
-    some = touched.rows(base, "__row").join(gone, "__row", "left")
+    some = touched.rows(base, "__row").join(gone.hint("merge"), "__row", "left")  # the list grows with the corpus
     none = touched.rows(base, "__row", passing=False).withColumn("removed_lines", F.lit(None).cast("array<long>"))
     rest = F.filter(F.split("__text", "\n", -1), lambda _, i: ~F.array_contains("removed_lines", i.cast("long")))
     text = F.when(F.col("removed_lines").isNull(), F.col("__text")).otherwise(F.array_join(rest, "\n"))

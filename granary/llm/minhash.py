@@ -9,11 +9,14 @@
    prior) is Beta(m + 1, n - m + 1); the pair is dropped as soon as the
    probability of reaching the threshold falls under ``miss``.
 4. Survivors are verified exactly on their full shingle sets.
-5. The links join nodes into components. Bucket members that are still in
-   different components are then compared within cells of bounded size, and
-   only likely pairs leave a cell; they are verified likewise, and the
-   components are formed again. Pairs inside one component add nothing to it,
-   so groups of thousands of near copies cost a star, not all their pairs.
+5. The links join nodes into components. Each member is then paired with a
+   few random ones of its bucket that are in other components: a node with
+   links to many members of a group finds one of them in one of its buckets.
+6. Bucket members that are even then in different components are compared
+   within cells of bounded size, and only likely pairs leave a cell; they are
+   verified likewise, and the components are formed again. Pairs inside one
+   component add nothing to it, so groups of thousands of near copies cost a
+   few stars, not all their pairs.
 
 With 44 bands of 6 a pair at similarity 0.8 shares no band with probability
 1.5e-6; ``miss`` adds at most 5e-6.
@@ -43,7 +46,8 @@ from granary.llm.components import components
 class Plan:
     """Shingle width, threshold in percent, bands, rows a band; signature positions compared, by batch; miss probability.
 
-    ``cell`` bounds the members of a bucket that one task compares with as many others.
+    ``cell`` bounds the members of a bucket that one task compares with as many others; ``stars`` is the number of
+    random ones with which each is paired before that.
     """
 
     words: int = 5
@@ -51,7 +55,8 @@ class Plan:
     bands: int = 44
     rows: int = 6
     batch: int = 33
-    compared: int = 165
+    compared: int = 264
+    stars: int = 3
     cell: int = 512
     miss: float = 1e-6
     seed: int = 7
@@ -202,6 +207,13 @@ def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(verify, "u long, v long")
 
 
+def _still_apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root of the buckets of three or more whose members are in different components."""
+    rooted = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("key")
+    return rooted.join(mixed, "key", "left_semi")
+
+
 def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     """(digest, root) of a ``shingled`` table that has been written: ``root`` names the component."""
     filled = base.filter(F.col("n_shingles") > 0)
@@ -218,11 +230,14 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     links = materialise(_verified(materialise(_likely(stars, nodes, plan), "likely"), base, plan), "links")
     roots = components(links)
 
-    # members of one bucket that the stars left in different components
-    open_ = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = open_.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-    members = open_.join(mixed, "key", "left_semi").join(nodes, "node")
-    likely = materialise(_likely_across(members, plan).join(stars, ["u", "v"], "left_anti"), "likely")
+    left = _still_apart(buckets, roots)
+    centers = left.groupBy("key").agg(F.array(*[F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(t))) for t in range(plan.stars)]).alias("c"))
+    pairs = left.join(centers, "key").select("node", "root", F.explode("c").alias("c")).filter(F.col("root") != F.col("c.root"))
+    pairs = pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+    found = materialise(_verified(materialise(_likely(pairs, nodes, plan), "likely"), base, plan), "links")
+    roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
+    members = _still_apart(buckets, roots).join(nodes, "node")
+    likely = materialise(_likely_across(members, plan), "likely")
     if not likely.isEmpty():
         found = materialise(_verified(likely, base, plan), "links")
         roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
