@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.blocks import Bloom, across_components
-from granary.llm.common import materialise, read_table, schema_with, texts_of
+from granary.llm.common import materialise, mix64, read_table, schema_with, texts_of
 from granary.llm.components import components
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
 @dataclass(frozen=True)
 class Params:
     """``distance`` edits at most; stripped lines under ``least_chars`` characters are never compared.
@@ -42,30 +46,65 @@ class Params:
     cell: int = 512
 
 
-def cuts(length: int, parts: int) -> list[tuple[int, int]]:
-    """(start, length) of even segments; the last ones take the odd characters."""
-    short, more = divmod(length, parts)
-    found, at = [], 0
-    for i in range(parts):
-        n = short + (i >= parts - more)
-        found.append((at, n))
-        at += n
-    return found
+def all_keys(lines: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, position in ``lines`` and own segment or not, for all lines at once; a line may give a key twice.
+
+    Substring hashes are differences of running sums of mixed characters times
+    the powers of an odd base, divided by the power at the substring's start.
+    Lines whose hashes collide only meet once more: every pair is verified.
+    """
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    begins = np.cumsum(size) - size
+    char = mix64(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + BASE)
+    powers = lambda base: np.cumprod(np.full(len(char) + 1, base, dtype=np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(char * powers(BASE)[:-1])))
+    back = powers(INVERSE)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    for delta in range(t + 1):
+        rows = np.flatnonzero(size - delta >= t)
+        length = size[rows] - delta
+        short, more = np.divmod(length, t + 1)
+        for i in range(t + 1):
+            n = short + (i >= t + 1 - more)
+            start = short * i + np.maximum(i - (t + 1 - more), 0)
+            low = np.maximum(np.maximum(start - i, start + delta - (t - i)), 0)
+            high = np.minimum(np.minimum(start + i, start + delta + (t - i)), size[rows] - n)
+            for shift in range(int((high - low).max(initial=-1)) + 1):
+                some = np.flatnonzero(low + shift <= high)
+                at = begins[rows[some]] + low[some] + shift
+                part = (sums[at + n[some]] - sums[at]) * back[at]
+                kind = (length[some] * (t + 1) + i).astype(np.uint64)
+                found.append((mix64(part + mix64(kind * BASE)), rows[some], np.full(len(some), delta == 0) & (low[some] + shift == start[some])))
+    key, at, own = map(np.concatenate, zip(*found, strict=True))
+    return key, at, own
+
+
+def merged(key: np.ndarray, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's keys once, own where any of its equal ones is."""
+    order = np.lexsort((~own, key, at))
+    key, at, own = key[order], at[order], own[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+    return key[first], at[first], own[first]
 
 
 def keys(line: str, t: int) -> list[tuple[int, bool]]:
     """(key, own segment or not) of one line."""
-    size, found = len(line), {}
-    raw = line.encode("utf-32-le", "surrogatepass")
-    for length in range(size, max(size - t, t) - 1, -1):
-        delta = size - length
-        for i, (start, n) in enumerate(cuts(length, t + 1)):
-            low = max(start - i, start + delta - (t - i), 0)
-            high = min(start + i, start + delta + (t - i), size - n)
-            for at in range(low, high + 1):
-                key = xxhash.xxh3_64_intdigest(raw[4 * at : 4 * (at + n)], seed=length * (t + 1) + i)
-                found[key] = found.get(key, False) or (delta == 0 and at == start)
-    return list(found.items())
+    key, _, own = merged(*all_keys([line], t))
+    return list(zip(key.tolist(), own.tolist(), strict=True))
+
+
+def by_chars(lines: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of whole lines of about ``most`` characters in all."""
+    held, chars = [], 0
+    for x in lines:
+        held.append(x)
+        chars += len(x)
+        if chars >= most:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def padded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +179,6 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-
-
 def occurrences(base: DataFrame, p: Params) -> DataFrame:
     """__row, __id, line_no and line (hash) of every line long enough."""
 
@@ -171,19 +206,15 @@ def key_rows(base: DataFrame, p: Params, only: Bloom | None = None) -> DataFrame
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 lines = {x.strip() for text in texts_of(whole.slice(i, 500), "__text") for x in text.split("\n")}
-                lines = [x for x in lines if len(x) >= p.least_chars]
-                each = [keys(x, p.distance) for x in lines]
-                flat = [pair for found in each for pair in found]
-                if not flat:
-                    continue
-                line = np.repeat(np.array([line_hash(x) for x in lines], dtype=np.int64), [len(found) for found in each])
-                key, own = _signed([k for k, _ in flat]), np.array([o for _, o in flat], dtype=bool)
-                if only is None:
-                    yield pa.RecordBatch.from_arrays([key, pa.array(line), pa.array(own)], names=["key", "line", "own"])
-                    continue
-                stays = np.flatnonzero(only.passes(key.to_numpy()))
-                at = np.repeat(np.arange(len(lines)), [len(found) for found in each])[stays]
-                yield pa.RecordBatch.from_arrays([key.take(pa.array(stays)), pa.array(line[stays]), pa.array(own[stays]), pa.array([lines[k] for k in at], pa.string())], names=["key", "line", "own", "text"])
+                for part in by_chars([x for x in lines if len(x) >= p.least_chars]):
+                    line = np.array([line_hash(x) for x in part], dtype=np.int64)
+                    key, at, own = all_keys(part, p.distance)
+                    if only is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at]), pa.array(own)], names=["key", "line", "own"])
+                        continue
+                    stays = only.passes(key.view(np.int64))
+                    key, at, own = merged(key[stays], at[stays], own[stays])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at]), pa.array(own), pa.array([part[k] for k in at], pa.string())], names=["key", "line", "own", "text"])
 
     return base.select("__text").mapInArrow(run, columns)
 

@@ -336,6 +336,17 @@ def test_banded_distance_and_segment_keys(t):
             assert own & {k for k, _ in lines.keys(y, t)}
 
 
+def test_keys_of_many_lines_are_those_of_each():
+    rng = np.random.default_rng(4)
+    many = ["".join(rng.choice(list("ab é🙂"), rng.integers(0, 40))) for _ in range(60)]
+    key, at, own = lines.merged(*lines.all_keys(many, 2))
+    for k, x in enumerate(many):
+        assert list(zip(key[at == k].tolist(), own[at == k].tolist(), strict=True)) == lines.keys(x, 2)
+        if len(x) > 8:
+            assert sum(own[at == k]) == 3
+    assert lines.all_keys([], 2)[0].size == 0 and [x for part in lines.by_chars(many, 50) for x in part] == many
+
+
 def test_line_dedup(spark, odd, empty):
     a, b, c = "the first of the lines is long", "the first of tho lines is longer", "an entirely different line here"
     rows = [(2, f"{a}\n{c}"), (1, f"{b}\nshort"), (3, f"{c}\n{a}x\nshort"), (4, None)]
