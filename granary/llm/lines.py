@@ -94,7 +94,7 @@ def keys(line: str, t: int) -> list[tuple[int, bool]]:
     return list(zip(key.tolist(), own.tolist(), strict=True))
 
 
-def by_chars(lines: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def by_chars(lines: list[str], most: int = 1 << 17) -> Iterator[list[str]]:
     """Runs of whole lines of about ``most`` characters in all."""
     held, chars = [], 0
     for x in lines:
