@@ -50,12 +50,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id",
     return ranking.top(ranking.min_max(hits), k, "query_id", [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
 
-def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9) -> DataFrame:
-    """query_id, rank, vec_id, distance: the k nearest by cosine; ``queries`` (query_id, q) is a stated, broadcast set."""
+def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64) -> DataFrame:
+    """query_id, rank, vec_id, distance: the k nearest by cosine over all vectors, for any number of ``queries`` (query_id, q).
+
+    Up to ``block`` queries are broadcast. More are dealt to blocks of about
+    that size, and each of ``cells`` cells of the vectors meets each block.
+    """
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), scalars.norm(F.col(vec_col)).alias("nv"))
     q = queries.select("query_id", "q", scalars.norm(F.col("q")).alias("nq"))
     distance = F.round(1 - scalars.dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv")), digits)
-    scored = v.join(F.broadcast(q), F.lit(True)).select("query_id", "vec_id", distance.alias("distance"))
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        met = v.join(F.broadcast(q), F.lit(True))
+    else:
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = v.withColumn("cell", dealt("vec_id", cells)).withColumn("block", number(blocks))
+        met = left.join(q.withColumn("block", dealt("query_id", blocks)).withColumn("cell", number(cells)), ["cell", "block"])
+    scored = met.select("query_id", "vec_id", distance.alias("distance"))
     return ranking.top(scored, k, "query_id", [F.col("distance"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "distance")
 
 

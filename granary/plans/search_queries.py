@@ -29,9 +29,10 @@ def keyword_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k, query_id="item_id", query_col="text")
 
 
-def vector_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
+def vector_hits(spark: SparkSession, d: str, k: int = 15, which: str = "vec_id < 10") -> DataFrame:
+    """Queries are the rows that ``which`` names; the ten of the default are those of the SQL."""
     e = table(spark, d, "embeddings")
-    return search.vector(e, e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+    return search.vector(e, e.filter(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
 @query(f"WITH toks AS (SELECT doc_id, unnest({TOKENS_SQL.format(c='text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY term")
@@ -117,9 +118,9 @@ def i06_hybrid(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def i07_mmr(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = vector_hits(spark, d, 16).join(e.withColumnRenamed("embedding", "v"), "vec_id")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return search.mmr(near.join(F.broadcast(q), "query_id").select("query_id", F.col("vec_id").alias("id"), "q", "v"), 4)
+    near = vector_hits(spark, d, 16, "vec_id % 50 = 0").join(e.withColumnRenamed("embedding", "v"), "vec_id")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.mmr(near.join(q, "query_id").select("query_id", F.col("vec_id").alias("id"), "q", "v"), 4)
 
 
 @query(
