@@ -14,7 +14,8 @@ neither class knows costs both the same, so rare words decide nothing.
 A text's evidence is its log-likelihood ratio per character, the same per
 word above a margin (mean, log of the sum), and its strongest word. A logistic
 curve over the four, fitted on labelled rows that the counts left out, makes
-the score.
+the score. Where a class exceeds the bounded sample, each of its rows there
+counts for as many as it stands for, so the curve keeps the true class ratio.
 """
 
 from __future__ import annotations
@@ -80,16 +81,26 @@ def entry_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(h) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, params: Params, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text, y and fold of the labelled rows outside the held-out part; at most ``labels_per_class`` ids a class."""
+def allowed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """__id and y of the labelled ids outside the held-out part."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter(F.col("__id").isNotNull() & F.col("y").isin(0, 1))
-    known = known.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
+    return known.filter(~held_out("__id")).groupBy("__id").agg(F.max("y").alias("y"))
+
+
+def labelled(docs: DataFrame, known: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """text, y and fold of the rows of ``known``; at most ``labels_per_class`` ids a class."""
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(params.labels_per_class) for y in (0, 1)]
     fold = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(params.folds)).cast("int")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "__id").select(F.coalesce("text", F.lit("")).alias("text"), "y", fold.alias("fold"))
 
 
+def standing_for(known: DataFrame, params: Params) -> np.ndarray:
+    """By label, how many allowed ids each sampled one stands for: 1 up to the bound."""
+    all_ = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    return np.array([max(all_.get(y, 0) / params.labels_per_class, 1.0) for y in (0, 1)])
+
+
 def sequence_counts(rows: DataFrame, order: int) -> DataFrame:
     """gram, context, suffix, suffix_context (hashes) with toxic and ordinary counts."""
 
@@ -170,21 +181,22 @@ def evidence(text: str, ratio: np.ndarray, back: np.ndarray, params: Params) ->
     return [total / max(chars, 1), above / max(words, 1), float(np.log1p(above)), most]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bias first) by damped Newton steps with a small ridge."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights (bias first) by damped Newton steps with a small ridge; row k counts ``times[k]`` times."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / scale]
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(len(w)), a.T @ (y - p) - 1e-3 * w)
+        w += np.linalg.solve(a.T @ (a * (times * (p * (1 - p) + 1e-6))[:, None]) + 1e-3 * np.eye(len(w)), a.T @ (times * (y - p)) - 1e-3 * w)
     return np.r_[w[0] - (w[1:] * mean / scale).sum(), w[1:] / scale]
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0; None unless both labels occur on either side of the calibration fold."""
     params = params or Params()
-    rows = labelled(docs, labels, params, id_col, text_col, label_col)
+    known = allowed(labels, id_col, label_col)
+    rows = labelled(docs, known, params, id_col, text_col)
     grams = materialise(sequence_counts(rows.filter("fold > 0"), params.order), "grams")
     value, back = log_ratios(grams, params)
     ratio, masses = dense(value, "gram", params.table_bits, np.nan), dense(back, "context", params.table_bits, 0.0)
@@ -198,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, *, id_
     seen: pd.DataFrame = rows.filter("fold = 0").select("text", "y").mapInArrow(weigh, "y int, a double, b double, c double, d double").toPandas()
     if seen["y"].nunique() < 2 or not grams.limit(1).count():
         return None
-    return Model(params, ratio, masses, logistic(seen[["a", "b", "c", "d"]].to_numpy(), seen["y"].to_numpy()))
+    y = seen["y"].to_numpy()
+    return Model(params, ratio, masses, logistic(seen[["a", "b", "c", "d"]].to_numpy(), y, standing_for(known, params)[y]))
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 
 from granary import plans
+from granary.llm import toxicity
 from granary.operators import search
 
 
@@ -22,3 +23,12 @@ def test_blocks_of_queries_meet_all_vectors(spark):
 def test_mmr_takes_every_fiftieth_vector(spark, sf):
     wanted = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").collect()}
     assert {r.query_id for r in plans.QUERIES["i07_mmr"](spark, sf).collect()} == wanted
+
+
+def test_a_bounded_sample_keeps_the_class_ratio(spark):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "bravo", "delta", "gamma", "omega", "sigma", "theta"]
+    rows = [(i, " ".join(rng.choice(words, 12)), int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    mean = {n: np.mean([r.toxicity for r in toxicity.score(docs, toxicity.fit(docs, docs, toxicity.Params(labels_per_class=n))).collect()]) for n in (200, 50_000)}
+    assert abs(mean[50_000] - 0.1) < 0.05 and abs(mean[200] - 0.1) < 0.08
