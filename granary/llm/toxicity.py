@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import held_out, materialise, mix64, read_table, schema_with
+from granary.llm.common import held_out, materialise, read_table, schema_with
 from granary.llm.tokens import segments
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -40,27 +40,37 @@ SPACE = 32
 class Params:
     """``labels_per_class`` bounds the labelled rows that the models learn from.
 
-    ``table_bits`` fixes the size of the broadcast tables (4 bytes an entry),
-    whatever the corpus holds; sequences whose hashes share an entry are told
-    apart by count, the more frequent one keeps it. ``least`` drops sequences
-    seen less often. Every ``folds``-th labelled row calibrates the score.
+    Every ``folds``-th of those calibrates the score.
     """
 
     order: int = 5
     discount: float = 0.75
     labels_per_class: int = 50_000
-    table_bits: int = 22
-    least: int = 2
     margin: float = 4.0
     folds: int = 6
     alphabet: int = 500
 
 
+@dataclass(frozen=True)
+class Table:
+    """Values by 64-bit hash, sorted by it: 12 bytes for each sequence that the labelled rows hold, all of them kept."""
+
+    hashes: np.ndarray
+    values: np.ndarray
+
+    def look_up(self, h: np.ndarray, empty: float) -> np.ndarray:
+        """The value of each hash, ``empty`` where the table does not hold it."""
+        if not len(self.hashes):
+            return np.full(len(h), empty, dtype=np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.values[at], np.float32(empty))
+
+
 @dataclass(frozen=True)
 class Model:
     params: Params
-    ratio: np.ndarray  # by hashed sequence: log P_toxic - log P_ordinary; NaN where unseen
-    back: np.ndarray  # by hashed context: log of the backoff masses' ratio; 0 where unseen
+    ratio: Table  # by sequence: log P_toxic - log P_ordinary
+    back: Table  # by context: log of the backoff masses' ratio
     weights: np.ndarray  # bias, then one for each piece of evidence
 
 
@@ -77,10 +87,6 @@ def rolling(c: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
-def entry_of(h: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(h) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def allowed(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """__id and y of the labelled ids outside the held-out part."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter(F.col("__id").isNotNull() & F.col("y").isin(0, 1))
@@ -130,7 +136,7 @@ def sequence_counts(rows: DataFrame, order: int) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """(gram, total, value) and (context, total, value): the two tables of the model, before hashing to entries."""
+    """(gram, value) and (context, value): the two tables of the model."""
     d = params.discount
     contexts = grams.groupBy("context").agg(
         F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), F.count_if(F.col("toxic") > 0).alias("tt"), F.count_if(F.col("ordinary") > 0).alias("to")
@@ -139,41 +145,33 @@ def log_ratios(grams: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     lower = suffixes.groupBy("suffix_context").agg(F.sum("kinds").alias("all_kinds"), F.count(F.lit(1)).alias("followers"))
     shared = suffixes.join(lower, "suffix_context").select("suffix", ((F.greatest(F.col("kinds") - d, F.lit(0.0)) + d * F.col("followers") / params.alphabet) / F.col("all_kinds")).alias("p"))
     chance = lambda n, all_, kinds: F.when(all_ > 0, (F.greatest(n - d, F.lit(0.0)) + d * kinds * F.col("p")) / all_).otherwise(F.col("p"))
-    total = F.col("toxic") + F.col("ordinary")
     ratio = F.log(chance(F.col("toxic"), F.col("nt"), F.col("tt")) / chance(F.col("ordinary"), F.col("no"), F.col("to")))
-    value = grams.filter(total >= params.least).join(contexts, "context").join(shared, "suffix").select("gram", total.alias("total"), ratio.cast("float").alias("value"))
+    value = grams.join(contexts, "context").join(shared, "suffix").select("gram", ratio.cast("float").alias("value"))
     mass = lambda all_, kinds: F.when(all_ > 0, d * kinds / all_).otherwise(1.0)
-    back = contexts.select("context", (F.col("nt") + F.col("no")).alias("total"), F.log(mass(F.col("nt"), F.col("tt")) / mass(F.col("no"), F.col("to"))).cast("float").alias("value"))
+    back = contexts.select("context", F.log(mass(F.col("nt"), F.col("tt")) / mass(F.col("no"), F.col("to"))).cast("float").alias("value"))
     return value, back
 
 
-def dense(values: DataFrame, key: str, bits: int, empty: float) -> np.ndarray:
-    """A table of 2**bits entries; at most that many rows reach the driver."""
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = entry_of(b.column(key).to_numpy().view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("total"), b.column("value")], names=["at", "total", "value"])
-
-    best = values.mapInArrow(entries, "at long, total long, value float").groupBy("at").agg(F.max(F.struct("total", "value")).alias("b"))
-    found = best.select("at", F.col("b.value").alias("value")).toArrow()
-    table = np.full(1 << bits, empty, dtype=np.float32)
-    table[found.column("at").to_numpy()] = found.column("value").to_numpy()
-    return table
+def collected(values: DataFrame, key: str) -> Table:
+    """All rows of a table of the model on the driver, as many as there are sequences."""
+    found = values.select(key, "value").toArrow()
+    hashes = found.column(key).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Table(hashes[order], found.column("value").to_numpy()[order])
 
 
-def evidence(text: str, ratio: np.ndarray, back: np.ndarray, params: Params) -> list[float]:
+def evidence(text: str, ratio: Table, back: Table, params: Params) -> list[float]:
     """Mean per character, mean and log sum of words above the margin, strongest word."""
-    order, bits = params.order, params.table_bits
+    order = params.order
     total, chars, above, words, most = 0.0, 0, 0.0, 0, 0.0
     for segment in segments(text):
         c = codes(segment)
         if len(c) < order:
             continue
         near = rolling(c, order - 1)[:-1]
-        value = ratio[entry_of(near * STEP + c[order - 1 :], bits)]
+        value = ratio.look_up(near * STEP + c[order - 1 :], np.nan)
         unseen = np.flatnonzero(np.isnan(value))
-        value[unseen] = back[entry_of(near[unseen], bits)]
+        value[unseen] = back.look_up(near[unseen], 0.0)
         starts = np.concatenate(([0], np.flatnonzero(c[order - 1 :] == SPACE) + 1))
         each = np.add.reduceat(value, starts[starts < len(value)])
         total, chars = total + float(value.sum()), chars + len(value)
@@ -199,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params | None = None, *, id_
     rows = labelled(docs, known, params, id_col, text_col)
     grams = materialise(sequence_counts(rows.filter("fold > 0"), params.order), "grams")
     value, back = log_ratios(grams, params)
-    ratio, masses = dense(value, "gram", params.table_bits, np.nan), dense(back, "context", params.table_bits, 0.0)
+    ratio, masses = collected(value, "gram"), collected(back, "context")
     tables = docs.sparkSession.sparkContext.broadcast((ratio, masses))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
