@@ -8,7 +8,8 @@ last return the columns of ``documents``:
    their last visible line go;
 3. MinHash: one document of each group of near-duplicates stays (five-word
    shingles, similarity 0.8 or more);
-4. secrets: live credentials are blanked out, all documents stay;
+4. secrets: random-looking credentials that are no examples are blanked out,
+   all documents stay;
 5. packing: what is left becomes sequences of at most 1024 tokens.
 """
 

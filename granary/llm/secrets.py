@@ -3,10 +3,12 @@
 Patterns find candidate credentials in each whole text. Every candidate value
 is hashed, and its distinct owners and repositories are counted over the
 corpus. A value that many owners hold is a widely copied example; one that a
-single owner holds in few repositories and that looks random is live.
+single owner holds, in any number of repositories, and that looks random is
+live. Random values of a few owners, more than one but too few for an example,
+are unsure; they are reported and redacted like live ones.
 
-Pattern spans always stay. The corpus counts add spans of kind ``bare``:
-long mixed tokens outside any pattern span whose value one owner alone holds.
+Pattern spans always stay. The corpus counts add spans of kind ``bare``: long
+mixed tokens outside any pattern span that look random and are no example.
 """
 
 from __future__ import annotations
@@ -100,49 +102,49 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.join(repos, "hash")
 
 
-def judged(scanned: DataFrame, owner: F.Column, repo: F.Column, live_owners: int, live_repos: int, example_owners: int) -> DataFrame:
-    """One row per candidate: __row, start, kind_no, end, value_start, owners, repos, verdict."""
+def judged(scanned: DataFrame, owner: F.Column, repo: F.Column, live_owners: int, example_owners: int) -> DataFrame:
+    """One row per candidate: __row, start, kind_no, end, value_start, owners, repos, verdict, and ``hide``: random and no example."""
     each = scanned.select("__row", owner.alias("owner"), repo.alias("repo"), F.explode("__spans").alias("s")).select("__row", "owner", "repo", "s.*")
     verdict = (
         F.when(F.col("owners") >= example_owners, "example")
-        .when((F.col("owners") <= live_owners) & (F.col("repos") <= live_repos) & F.col("random"), "live")
+        .when((F.col("owners") <= live_owners) & F.col("random"), "live")
         .otherwise("unsure")
     )
-    return each.join(ownership(each), "hash").select("__row", "start", "kind_no", "end", "value_start", "owners", "repos", verdict.alias("verdict"))
+    return each.join(ownership(each), "hash").select("__row", "start", "kind_no", "end", "value_start", "owners", "repos", verdict.alias("verdict"), (F.col("random") & (verdict != "example")).alias("hide"))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", live_owners: int = 1, live_repos: int = 3, example_owners: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", live_owners: int = 1, example_owners: int = 3) -> DataFrame:
     """Per row: doc_id and ``found``, an array of (start, kind_no, end, owners, repos, verdict) sorted by start and kind.
 
-    ``bare`` candidates are kept only with verdict ``live``. Null text is
+    ``bare`` candidates are kept only if they look random and are no example. Null text is
     empty; a null owner or repository is one owner or repository of its own;
     repeated rows give repeated results; extra columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("__owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("__repo"), F.col(text_col).alias("__body"))
     scanned = materialise(scan(source, "__body", ["doc_id", "__owner", "__repo"]), "candidates")
-    each = judged(scanned.filter(F.size("__spans") > 0), F.col("__owner"), F.col("__repo"), live_owners, live_repos, example_owners)
-    kept = each.filter((F.col("kind_no") < 3) | (F.col("verdict") == "live"))
+    each = judged(scanned.filter(F.size("__spans") > 0), F.col("__owner"), F.col("__repo"), live_owners, example_owners)
+    kept = each.filter((F.col("kind_no") < 3) | F.col("hide"))
     per_row = kept.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "kind_no", "end", "owners", "repos", "verdict"))).alias("found"))
     some = scanned.filter(F.size("__spans") > 0).select("__row", "doc_id").join(per_row, "__row", "left").select("doc_id", "found")
     none = scanned.filter(F.size("__spans") == 0).select("doc_id", F.lit(None).cast(some.schema["found"].dataType).alias("found"))
     return some.unionByName(none).withColumn("found", F.coalesce("found", F.array().cast(some.schema["found"].dataType)))
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<secret>", live_owners: int = 1, live_repos: int = 3, example_owners: int = 3) -> DataFrame:
-    """The rows and columns of ``docs`` with the values of live credentials replaced by ``mark``.
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mark: str = "<secret>", live_owners: int = 1, example_owners: int = 3) -> DataFrame:
+    """The rows and columns of ``docs`` with all random-looking values that are no widely copied examples replaced by ``mark``.
 
-    Overlapping live values are replaced as one. Rows without live credentials
-    come back unchanged; null texts stay null.
+    Overlapping values are replaced as one. Rows without such values come back
+    unchanged; null texts stay null.
     """
     names = docs.columns
     scanned = materialise(scan(docs, text_col, names), "candidates")
     hit = scanned.filter(F.size("__spans") > 0)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    live = judged(hit, key(owner_col), key(repo_col), live_owners, live_repos, example_owners).filter(F.col("verdict") == "live")
-    spans = live.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.col("value_start").alias("start"), "end"))).alias("__live"))
+    hidden = judged(hit, key(owner_col), key(repo_col), live_owners, example_owners).filter("hide")
+    spans = hidden.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.col("value_start").alias("start"), "end"))).alias("__hidden"))
     # a fold from left to right: (text so far, position up to which it has been read)
     fold = F.aggregate(
-        "__live",
+        "__hidden",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
@@ -150,7 +152,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
     )
-    changed = hit.join(spans, "__row", "left").withColumn(text_col, F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(fold))
+    changed = hit.join(spans, "__row", "left").withColumn(text_col, F.when(F.col("__hidden").isNull(), F.col(text_col)).otherwise(fold))
     return changed.select(names).unionByName(scanned.filter(F.size("__spans") == 0).select(names))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from granary import plans
-from granary.llm import toxicity
+from granary.llm import secrets, toxicity
 from granary.operators import search
 
 
@@ -70,3 +70,17 @@ def test_every_sequence_has_its_own_ratio(spark):
     assert len(model.ratio.hashes) == len(grams)
     unseen = toxicity.Table(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     assert np.isnan(model.ratio.look_up(hash_of("zzzzz"), np.nan)).all() and unseen.look_up(hash_of("zzzzz"), 0.0)[0] == 0
+
+
+def test_copies_do_not_make_a_secret_unsure(spark):
+    one, two, bare, three = "token = q8Zt5kLw0pXv7Rm2", "token = w3Nc9yHb6sDf1Jg4", "Kq7Zt5mLw0pXv7Rm2Qb8", "token = z5Vb2nMx8kQp0Tr6"
+    rows = [(i, f"a {one} b {bare} c", "s1") for i in range(6)] + [(10 + i, f"a {two} b {bare[::-1]} c", f"s{i % 2}") for i in range(6)]
+    rows += [(20 + i, f"a {three} b {bare.swapcase()} c", f"s{i}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: [(secrets.KINDS[s.kind_no], s.verdict) for s in r.found] for r in secrets.find_secrets(docs).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i in range(6):
+        assert found[i] == [("assign", "live"), ("bare", "live")] and left[i] == "a token = <secret> b <secret> c"
+        assert found[10 + i] == [("assign", "unsure"), ("bare", "unsure")] and left[10 + i] == "a token = <secret> b <secret> c"
+    for i in range(20, 23):
+        assert found[i] == [("assign", "example")] and three in left[i]
