@@ -6,9 +6,11 @@ Each has a batch twin or a fold that the tests compare it with.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,14 +56,23 @@ def token_bucket(requests: DataFrame, rate: float = 10.0, capacity: float = 100.
 
 
 def token_bucket_batch(requests: DataFrame, rate: float = 10.0, capacity: float = 100.0) -> DataFrame:
-    """The same over a finished table; one group is one client's requests."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"])
-        found, _, _ = take(rows["at"].tolist(), capacity, float(rows["at"].iloc[0]), rate, capacity)
-        return pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "allowed": [a for a, _, _ in found], "tokens": [t for _, t, _ in found], "retry_after": [w for _, _, w in found]})
-
-    return requests.groupBy("client").applyInPandas(fold, "client long, request_id long, allowed boolean, tokens double, retry_after double")
+    """The same over a finished table; Spark sorts, and a task holds one batch and the state of one client."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, last = (), capacity, 0.0
+        for b in batches:
+            out = []
+            for key, run in groupby(zip(b.column("client").to_pylist(), b.column("at").to_pylist(), strict=True), lambda r: r[:1]):
+                times = [at for _, at in run]
+                if key != held:
+                    held, tokens, last = key, capacity, times[0]
+                found, tokens, last = take(times, tokens, last, rate, capacity)
+                out += found
+            parts = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.bool_(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("client"), b.column("request_id"), *parts], names=["client", "request_id", "allowed", "tokens", "retry_after"])
+
+    rows = requests.select(F.col("client").cast("long"), F.col("request_id").cast("long"), F.col("at").cast("double"))
+    return rows.repartition("client").sortWithinPartitions("client", "at", "request_id").mapInArrow(fold, "client long, request_id long, allowed boolean, tokens double, retry_after double")
 
 
 def windowed(events: DataFrame, at: str, by: list[str], value: str, *, length: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:

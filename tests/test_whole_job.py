@@ -8,6 +8,7 @@ import pytest
 from granary import plans
 from granary.llm import secrets, toxicity
 from granary.operators import search
+from granary.streaming import state
 
 
 def test_blocks_of_queries_meet_all_vectors(spark):
@@ -84,3 +85,22 @@ def test_copies_do_not_make_a_secret_unsure(spark):
         assert found[10 + i] == [("assign", "unsure"), ("bare", "unsure")] and left[10 + i] == "a token = <secret> b <secret> c"
     for i in range(20, 23):
         assert found[i] == [("assign", "example")] and three in left[i]
+
+
+def test_a_hot_client_goes_through_in_batches(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if c == 5 else int(c), i, float(t)) for i, (c, t) in enumerate(zip(rng.choice([1, 1, 1, 2, 3, 5], 300), rng.integers(0, 200, 300), strict=True))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = state.token_bucket_batch(spark.createDataFrame(rows, "client long, request_id long, at double").repartition(3), 0.5, 3.0)
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.client, r.request_id, r.allowed, r.tokens, r.retry_after) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = set()
+    for c in {r[0] for r in rows}:
+        own = sorted((t, i) for k, i, t in rows if k == c)
+        answers, _, _ = state.take([t for t, _ in own], 3.0, own[0][0], 0.5, 3.0)
+        want |= {(c, i, *a) for (_, i), a in zip(own, answers, strict=True)}
+    assert got == want and len(got) == 300
