@@ -72,7 +72,8 @@ def stripped(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of Hangul, Latin letters or digits, two characters or more; duplicates and order kept."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda t: F.length(t) >= LEAST_TOKEN)
+    runs = TOKEN.replace("+", f"{{{LEAST_TOKEN},}}")  # a run is matched whole or not at all
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(runs), F.lit(0))
 
 
 def word_set(c: Column) -> Column:

@@ -7,11 +7,9 @@ Query tokens count as often as they occur.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, text
@@ -26,49 +24,64 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
 
 
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, df: distinct within each row before anything is shuffled, then one aggregation."""
+    return docs.select(F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", digits: int = 9) -> DataFrame:
     """query_id, rank, doc_id, score (min-max over all hits of the query, then the first k).
 
-    Only terms that some query holds leave the scan of the corpus: the query
-    terms are a small table, so documents are joined to them before any
-    counting and the shuffles carry matches, not the corpus.
+    The corpus is tokenised once. Only terms that some query holds leave the
+    scan, with one row without a term for each document, in one exchange by
+    document; corpus counts and scores both read it. A document's scores are
+    summed where its terms are, so a frequent term spreads like the documents,
+    and only the best k and the extremes of each query move on.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(text.tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = wanted.select("term").distinct()
+    terms = wanted.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
     toks = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("t"))
-    size = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    posted = toks.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = posted.join(document_frequency(posted), "term").crossJoin(F.broadcast(size))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighted = weighted.select("term", "doc_id", part.alias("part"))
-    hits = wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("times")), digits).alias("score")).filter("score > 0")
-    return ranking.top(ranking.min_max(hits), k, "query_id", [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
-
-
-def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, distance: the k nearest by cosine over all vectors, for any number of ``queries`` (query_id, q).
+    rows = toks.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(terms, "term", "left_semi")
+    posted = rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = posted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dls"))
+    size = counts.filter("term = ''").select(F.col("df").alias("n"), (F.col("dls") / F.col("df")).alias("avgdl"))
+    known = wanted.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(size))  # one row
+    known = known.select("query_id", "term", "avgdl", (F.col("times") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * (K1 + 1)).alias("weight"))
+    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = posted.join(known, "term").groupBy("doc_id", "query_id").agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
+    best = ranking.top(hits, k, "query_id", [F.col("score").desc(), F.col("doc_id")])
+    lowest = hits.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    scaled = F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)
+    return best.join(lowest, "query_id").select("query_id", "rank", "doc_id", scaled.alias("score"))
+
+
+def meet(rows: DataFrame, queries: DataFrame, on: Column, *, row_id: str, query_id: str = "query_id", block: int = 4096, cells: int = 64) -> DataFrame:
+    """Each row with each query for which ``on`` holds, for any number of queries.
 
     Up to ``block`` queries are broadcast. More are dealt to blocks of about
-    that size, and each of ``cells`` cells of the vectors meets each block.
+    that size, and each of ``cells`` cells of the rows meets each block.
     """
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries), on)
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = rows.withColumn("__cell", dealt(row_id, cells)).withColumn("__block", number(blocks))
+    right = queries.withColumn("__block", dealt(query_id, blocks)).withColumn("__cell", number(cells))
+    return left.join(right, ["__cell", "__block"]).filter(on).drop("__cell", "__block")
+
+
+def distances(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64) -> DataFrame:
+    """query_id, vec_id, distance: each vector's cosine distance to each of ``queries`` (query_id, q)."""
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), scalars.norm(F.col(vec_col)).alias("nv"))
     q = queries.select("query_id", "q", scalars.norm(F.col("q")).alias("nq"))
     distance = F.round(1 - scalars.dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv")), digits)
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        met = v.join(F.broadcast(q), F.lit(True))
-    else:
-        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        left = v.withColumn("cell", dealt("vec_id", cells)).withColumn("block", number(blocks))
-        met = left.join(q.withColumn("block", dealt("query_id", blocks)).withColumn("cell", number(cells)), ["cell", "block"])
-    scored = met.select("query_id", "vec_id", distance.alias("distance"))
-    return ranking.top(scored, k, "query_id", [F.col("distance"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "distance")
+    return meet(v, q, F.lit(True), row_id="vec_id", block=block, cells=cells).select("query_id", "vec_id", distance.alias("distance"))
+
+
+def vector(vectors: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
+    """query_id, rank, vec_id, distance: the k nearest by cosine; ``how`` as in ``distances``."""
+    return ranking.top(distances(vectors, queries, **how), k, "query_id", [F.col("distance"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "distance")
 
 
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, *, vector_weight: float = 0.7, rrf_k: int = 30, digits: int = 9) -> DataFrame:
@@ -113,14 +126,16 @@ def gate(hits: DataFrame, *, least_documents: int = 2, least_ratio: float = 0.3,
     similarities, over all if none is positive; no similarity, no check.
     """
     words = text.gate_keywords(F.col("query"))
-    per = hits.groupBy("query_id", "query").agg(
+    low = F.lower(F.coalesce("content", F.lit("")))
+    rows = hits.withColumn("held", F.array_distinct(F.filter(words, lambda w: F.contains(low, F.lower(w)))))
+    per = rows.groupBy("query_id", "query").agg(
         F.count(F.lit(1)).alias("n_documents"),
-        F.lower(F.array_join(F.collect_list(F.coalesce("content", F.lit(""))), " ")).alias("all"),
+        F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"),
         F.avg(F.when(F.col("similarity") > 0, F.least(F.lit(1.0), "similarity"))).alias("positive"),
         F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity"))).alias("any"),
     )
     n = F.size(words)
-    ratio = F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.filter(words, lambda w: F.contains(F.col("all"), F.lower(w)))) / n)
+    ratio = F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.filter(words, lambda w: F.array_contains("held", w))) / n)
     per = per.withColumn("ratio", ratio).withColumn("similarity", F.coalesce("positive", "any"))
     reasons = F.array_compact(
         F.array(

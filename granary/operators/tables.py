@@ -7,9 +7,32 @@ from pyspark.sql import functions as F
 
 
 
-def prefix_range_join(left: DataFrame, right: DataFrame, prefix_left: Column, prefix_right: Column, value: Column, low: Column, high: Column) -> DataFrame:
-    """Rows whose prefixes are equal and whose value lies in (low, high]: an equi-join with a range filter."""
-    return left.join(right, (prefix_left == prefix_right) & (value > low) & (value <= high))
+def prefix_range_join(left: DataFrame, right: DataFrame, prefix_left: Column, prefix_right: Column, value: Column, low: Column, high: Column, width: int) -> DataFrame:
+    """Rows whose prefixes are equal and whose time lies in (low, high].
+
+    An equi-join on prefix and a stretch of ``width`` seconds, about the length
+    of a range: a range is copied to each stretch that it touches.
+    """
+    stretch = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+    l = left.withColumn("__prefix", prefix_left).withColumn("__stretch", stretch(value))  # noqa: E741
+    r = right.withColumn("__prefix", prefix_right).withColumn("__stretch", F.explode(F.sequence(stretch(low), stretch(high))))
+    return l.join(r, ["__prefix", "__stretch"]).filter((value > low) & (value <= high)).drop("__prefix", "__stretch")
+
+
+def numbered(df: DataFrame, buckets: list[Column], order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 over the whole table, without one task for all of them.
+
+    ``buckets`` cut the order into consecutive pieces, nulls first: rows are
+    numbered within a piece and moved by the sizes of the pieces before it.
+    """
+    keys = [f"__b{k}" for k in range(len(buckets))]
+    cut = df.withColumns(dict(zip(keys, buckets, strict=True)))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(*[F.asc_nulls_first(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)  # one row a piece
+    offsets = sizes.select(*[F.col(k).alias(f"{k}o") for k in keys], F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    placed = cut.withColumn("__own", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}o")) for k in keys]
+    return placed.join(offsets, same).withColumn(name, F.col("__own") + F.col("__before")).drop(*keys, *[f"{k}o" for k in keys], "__own", "__before")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

@@ -21,7 +21,7 @@ hits AS (SELECT query_id, doc_id, CASE WHEN hi > lo THEN (s - lo) / (hi - lo) EL
 kw AS (SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM hits) WHERE rank <= 15)"""
 
 VECTOR_CTE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-dist AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS distance FROM e AS a JOIN e AS b ON true WHERE a.vec_id < 10),
+dist AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS distance FROM e AS a JOIN e AS b ON true WHERE a.vec_id % 50 = 0),
 vec AS (SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM dist) WHERE rank <= 15)"""
 
 
@@ -29,15 +29,18 @@ def keyword_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k, query_id="item_id", query_col="text")
 
 
-def vector_hits(spark: SparkSession, d: str, k: int = 15, which: str = "vec_id < 10") -> DataFrame:
-    """Queries are the rows that ``which`` names; the ten of the default are those of the SQL."""
-    e = table(spark, d, "embeddings")
-    return search.vector(e, e.filter(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 50."""
+    return table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def vector_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
+    return search.vector(table(spark, d, "embeddings"), vector_queries(spark, d), k)
 
 
 @query(f"WITH toks AS (SELECT doc_id, unnest({TOKENS_SQL.format(c='text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY term")
 def a17_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return search.document_frequency(search.postings(table(spark, d, "documents")))
+    return search.document_frequency(table(spark, d, "documents"))
 
 
 @query(f"WITH toks AS (SELECT doc_id, {TOKENS_SQL.format(c='text')} AS t FROM documents) SELECT doc_id, term, count(*) AS tf, CAST(len(t) AS INTEGER) AS dl FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) GROUP BY doc_id, term, t")
@@ -62,23 +65,25 @@ def t04_distance_as_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
-    dist AS (SELECT a.vec_id AS query_id, b.vec_id, b.label = 0 AS common, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS distance FROM e AS a JOIN e AS b ON b.label IN (0, 1) WHERE a.vec_id < 10),
+    dist AS (SELECT a.vec_id AS query_id, b.vec_id, b.label = 0 AS common, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 9) AS distance FROM e AS a JOIN e AS b ON b.label IN (0, 1) WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, common ORDER BY distance, vec_id) AS own FROM dist)
     SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM r WHERE own <= CASE WHEN common THEN 2 ELSE 4 END"""
 )
 def t05_two_sources(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = vector_queries(spark, d)
     both = search.vector(e.filter("label = 1"), q, 4).unionByName(search.vector(e.filter("label = 0"), q, 2)).drop("rank")
     return ranking.top(both, 1 << 30, "query_id", [F.col("distance"), F.col("vec_id")]).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+NTH = "query_id div 50 AS query_id"
 LISTS_CTE = f"""WITH {BM25_CTE}, {VECTOR_CTE},
-lists AS (SELECT query_id, 0 AS list_no, rank, 0.7 AS weight, vec_id AS id FROM vec UNION ALL SELECT query_id, 1, rank, 0.3, doc_id FROM kw)"""
+lists AS (SELECT query_id // 50 AS query_id, 0 AS list_no, rank, 0.7 AS weight, vec_id AS id FROM vec UNION ALL SELECT query_id, 1, rank, 0.3, doc_id FROM kw)"""
 
 
 def two_lists(spark: SparkSession, d: str) -> DataFrame:
-    v = vector_hits(spark, d).select("query_id", "rank", F.col("vec_id").alias("id"), F.lit(0).alias("list_no"), F.lit(0.7).alias("weight"))
+    """The n-th vector query stands beside the n-th benchmark item."""
+    v = vector_hits(spark, d).select(F.expr(NTH), "rank", F.col("vec_id").alias("id"), F.lit(0).alias("list_no"), F.lit(0.7).alias("weight"))
     return v.unionByName(keyword_hits(spark, d).select("query_id", "rank", F.col("doc_id").alias("id"), F.lit(1).alias("list_no"), F.lit(0.3).alias("weight")))
 
 
@@ -106,11 +111,11 @@ def i05_multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
     LISTS_CTE
     + """, w AS (SELECT query_id, sum(weight) AS total FROM (SELECT DISTINCT query_id, list_no, weight FROM lists) GROUP BY query_id),
     fused AS (SELECT query_id, id, round(sum(weight / total / (30 + rank)), 9) AS score FROM lists JOIN w USING (query_id) GROUP BY query_id, id),
-    both_ AS (SELECT * FROM fused WHERE query_id IN (SELECT query_id FROM kw) UNION ALL SELECT query_id, vec_id, 1 - distance FROM vec WHERE query_id NOT IN (SELECT query_id FROM kw))
+    both_ AS (SELECT * FROM fused WHERE query_id IN (SELECT query_id FROM kw) UNION ALL SELECT query_id // 50, vec_id, 1 - distance FROM vec WHERE query_id // 50 NOT IN (SELECT query_id FROM kw))
     SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM both_) WHERE rank <= 5"""
 )
 def i06_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    v = vector_hits(spark, d).select("query_id", "rank", F.col("vec_id").alias("id"), (1 - F.col("distance")).alias("score"))
+    v = vector_hits(spark, d).select(F.expr(NTH), "rank", F.col("vec_id").alias("id"), (1 - F.col("distance")).alias("score"))
     k = keyword_hits(spark, d).select("query_id", "rank", F.col("doc_id").alias("id"), "score")
     return search.hybrid(v, k, 5).withColumn("score", F.round("score", 6))
 
@@ -118,9 +123,8 @@ def i06_hybrid(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def i07_mmr(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    near = vector_hits(spark, d, 16, "vec_id % 50 = 0").join(e.withColumnRenamed("embedding", "v"), "vec_id")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return search.mmr(near.join(q, "query_id").select("query_id", F.col("vec_id").alias("id"), "q", "v"), 4)
+    near = vector_hits(spark, d, 16).join(e.withColumnRenamed("embedding", "v"), "vec_id")
+    return search.mmr(near.join(vector_queries(spark, d), "query_id").select("query_id", F.col("vec_id").alias("id"), "q", "v"), 4)
 
 
 @query(
@@ -131,7 +135,7 @@ def i07_mmr(spark: SparkSession, d: str) -> DataFrame:
 def i11_overlap_rerank(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    pairs = keyword_hits(spark, d).join(F.broadcast(b.filter("query_id >= 0")), "query_id").join(c, "doc_id")
+    pairs = keyword_hits(spark, d).join(b, "query_id").join(c, "doc_id")
     return search.overlap_rerank(pairs, 5).select("query_id", "doc_id", "overlap", "rank")
 
 
@@ -208,9 +212,9 @@ def w14_sandwich(spark: SparkSession, d: str) -> DataFrame:
     return ranking.sandwich(keyword_hits(spark, d, 7), "query_id", [F.col("score").desc(), F.col("doc_id")]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
-@query(f"WITH {BM25_CTE} SELECT query_id, string_agg('[' || rank || '] ' || source || ' ' || substr(text, 1, 40), chr(10) || '---' || chr(10) ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 100 - rank END) AS context FROM kw JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
+@query(f"WITH {BM25_CTE} SELECT query_id, string_agg('[' || rank || '] ' || source || ' ' || substr(text, 1, 4000), chr(10) || '---' || chr(10) ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 100 - rank END) AS context FROM kw JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
 def c24_context(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 40).alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 4000).alias("head"))
     placed = ranking.sandwich(keyword_hits(spark, d, 5), "query_id", [F.col("rank")]).join(docs, "doc_id")
     block = F.concat(F.lit("["), "rank", F.lit("] "), "source", F.lit(" "), "head")
     return placed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), "\n---\n").alias("context"))
@@ -239,13 +243,13 @@ def t10_guaranteed_slots(spark: SparkSession, d: str) -> DataFrame:
     return ranking.guaranteed(hits, "query_id", "lang", 8, 2, [F.col("score").desc(), F.col("doc_id")], [F.col("doc_id").desc()]).select("query_id", "doc_id", "rank")
 
 
-@query(f"WITH {VECTOR_CTE}, s AS (SELECT query_id, label, max(greatest(0, 1 - distance)) AS sim FROM dist WHERE vec_id <> query_id GROUP BY query_id, label) SELECT CAST(q.vec_id AS BIGINT) AS query_id, l.label, round(coalesce(sim, 0.0), 6) AS similarity FROM (SELECT vec_id FROM embeddings WHERE vec_id < 12) q JOIN (SELECT DISTINCT label FROM embeddings) l ON true LEFT JOIN s ON s.query_id = q.vec_id AND s.label = l.label")
+@query(f"WITH {VECTOR_CTE}, s AS (SELECT query_id, label, max(greatest(0, 1 - distance)) AS sim FROM dist WHERE vec_id <> query_id AND 1 - distance >= 0.3 GROUP BY query_id, label) SELECT CAST(q.vec_id AS BIGINT) AS query_id, l.label, round(coalesce(sim, 0.0), 6) AS similarity FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT DISTINCT label FROM embeddings) l ON true LEFT JOIN s ON s.query_id = q.vec_id AND s.label = l.label")
 def j11_lookup_max(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = search.vector(e, q, 1 << 30).filter("vec_id <> query_id").join(e.select("vec_id", "label"), "vec_id")
+    near = search.distances(e, vector_queries(spark, d)).filter("vec_id <> query_id AND 1 - distance >= 0.3").join(e.select("vec_id", "label"), "vec_id")
     best = near.groupBy("query_id", "label").agg(F.max(F.greatest(F.lit(0.0), 1 - F.col("distance"))).alias("sim"))
-    wanted = e.filter("vec_id < 12").select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(e.select("label").distinct()))
+    every = e.agg(F.collect_set("label").alias("labels"))  # one row, as wide as there are classes
+    wanted = vector_queries(spark, d).select("query_id").crossJoin(F.broadcast(every)).select("query_id", F.explode("labels").alias("label"))
     return wanted.join(best, ["query_id", "label"], "left").select("query_id", "label", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("similarity"))
 
 
@@ -263,7 +267,7 @@ def w06_key_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VECTOR_CTE}, h AS (SELECT d.query_id, d.vec_id, d.label = e.label AS hit, row_number() OVER (PARTITION BY d.query_id ORDER BY d.distance, d.vec_id) AS r FROM dist d JOIN e ON e.vec_id = d.query_id WHERE d.vec_id <> d.query_id) SELECT query_id, max(CASE WHEN r <= 5 AND hit THEN 1 ELSE 0 END) = 1 AS hit_at_5, round(avg(CASE WHEN r <= 10 THEN CAST(hit AS INT) END), 6) AS share_at_10 FROM h GROUP BY query_id")
 def e02_search_accuracy(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    own = e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    own = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
     hits = ranking.top(vector_hits(spark, d, 12).filter("vec_id <> query_id").drop("rank"), 10, "query_id", [F.col("distance"), F.col("vec_id")])
-    hits = hits.join(e.select("vec_id", "label"), "vec_id").join(F.broadcast(own), "query_id")
+    hits = hits.join(e.select("vec_id", "label"), "vec_id").join(own, "query_id")
     return hits.groupBy("query_id").agg(F.bool_or((F.col("rank") <= 5) & (F.col("label") == F.col("wanted"))).alias("hit_at_5"), F.round(F.avg((F.col("label") == F.col("wanted")).cast("int")), 6).alias("share_at_10"))

@@ -95,11 +95,13 @@ def c12_mask(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(text.mask(F.col("text")).cast("binary")).alias("masked_md5"))
 
 
-@query("SELECT conv_id, map_from_entries(list(struct_pack(k := role, v := n))) IS NOT NULL AS has_map, CAST(sum(n) AS BIGINT) AS n FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY conv_id")
+@query(f"SELECT conv_id, string_agg(role || '=' || md5({MASK_SQL}), ',' ORDER BY role) AS masked FROM (SELECT conv_id, role, max(text) AS text FROM conversations GROUP BY ALL) GROUP BY conv_id")
 def c13_mask_map(spark: SparkSession, d: str) -> DataFrame:
-    per = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("text"))
-    held = per.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "text"))).alias("m"), F.sum("n").alias("n"))
-    return held.select("conv_id", F.transform_values("m", lambda _, v: text.mask(v)).isNotNull().alias("has_map"), "n")
+    per = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max("text").alias("text"))
+    held = per.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "text"))).alias("m"))
+    masked = F.transform_values("m", lambda _, v: text.mask(v))
+    pairs = F.array_sort(F.transform(F.map_entries(masked), lambda e: F.concat_ws("=", e["key"], F.md5(e["value"].cast("binary")))))
+    return held.select("conv_id", F.array_join(pairs, ",").alias("masked"))
 
 
 INJECTIONS = (
@@ -214,14 +216,14 @@ def d08_token_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, sha256(source || '||' || substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 1000)) AS document_key, md5(substr(text, 1, 500)) AS content_key,
-    sha256(lang || ':' || regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS cache_key, substr(md5(lower(lang || '|' || source)), 1, 12) AS short_key FROM documents"""
+    sha256(lang || ':' || regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS cache_key, substr(md5(lower(lang || '|' || source)), 1, 12) AS short_key FROM documents"""
 )
 def d11_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         "doc_id",
         scalars.document_key(F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("document_key"),
         scalars.content_key(F.col("text")).alias("content_key"),
-        scalars.cache_key(F.substring("text", 1, 60), F.col("lang")).alias("cache_key"),
+        scalars.cache_key(F.col("text"), F.col("lang")).alias("cache_key"),
         scalars.short_key(F.col("lang"), F.col("source")).alias("short_key"),
     )
 

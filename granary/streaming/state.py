@@ -31,13 +31,15 @@ def take(times: list[float], tokens: float, last: float, rate: float, capacity:
     return out, tokens, last
 
 
-def token_bucket(requests: DataFrame, rate: float = 10.0, capacity: float = 100.0) -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float = 10.0, capacity: float = 100.0, *, late: str = "1 day") -> DataFrame:
     """client, request_id, allowed, tokens, retry_after from (client, request_id, at in seconds).
 
-    The state of a client is two numbers. It is dropped after an idle hour,
-    when the bucket is full again anyway. Requests of one batch are taken in
-    order of time and id.
+    The state of a client is two numbers. It is dropped once the stream's time
+    says that its bucket has filled up again; timers follow event time, so a
+    finished input ends the query. Requests of one batch are taken in order of
+    time and id; those more than ``late`` behind the newest are not answered.
     """
+    full_after = capacity / rate
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,11 +49,12 @@ def token_bucket(requests: DataFrame, rate: float = 10.0, capacity: float = 100.
         tokens, last = state.get if state.exists else (capacity, float(rows["at"].iloc[0]))
         found, tokens, last = take(rows["at"].tolist(), tokens, last, rate, capacity)
         state.update((tokens, last))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int((last + full_after) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"client": key[0], "request_id": rows["request_id"].to_numpy(), "allowed": [a for a, _, _ in found], "tokens": [t for _, t, _ in found], "retry_after": [w for _, _, w in found]})
 
-    return requests.groupBy("client").applyInPandasWithState(
-        step, "client long, request_id long, allowed boolean, tokens double, retry_after double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    timed = requests.withColumn("__ts", F.timestamp_seconds("at")).withWatermark("__ts", late)
+    return timed.groupBy("client").applyInPandasWithState(
+        step, "client long, request_id long, allowed boolean, tokens double, retry_after double", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -107,15 +110,10 @@ def trimmed_sessions(turns: DataFrame, messages: int = 20) -> DataFrame:
 def append_new(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> Any:
     """A query that appends rows whose key the target does not hold yet, and stops when the input is read."""
 
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(path)  # from here on there is a table
+
     def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(key)
-        try:
-            held = spark.read.parquet(path).select(*key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            held = None
-        (new if held is None else new.join(held, key, "left_anti")).write.mode("append").parquet(path)
+        held = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*key)
+        batch.dropDuplicates(key).join(held, key, "left_anti").write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
