@@ -145,3 +145,29 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def conversation_key(query: Column, history: Column, last: int = 8, length: int = 200) -> Column:
+    """The query with ten digits that stand for the last messages (role, content); the query alone without any."""
+    part = F.slice(history, F.greatest(F.size(history) - last + 1, F.lit(1)), last)
+    cut = F.transform(part, lambda m: F.struct(F.coalesce(m["role"], F.lit("")).alias("role"), F.substring(F.coalesce(m["content"], F.lit("")), 1, length).alias("content")))
+    digest = F.substring(F.md5(F.to_json(cut).cast("binary")), 1, 10)
+    return F.when(F.coalesce(F.size(history), F.lit(0)) > 0, F.concat(query, F.lit("\n#h:"), digest)).otherwise(query)
+
+
+def has_keys(json: Column, keys: Sequence[str]) -> Column:
+    """Whether an object has all keys, whatever their values, null included."""
+    return F.coalesce(F.size(F.array_intersect(F.json_object_keys(json), F.array(*[F.lit(k) for k in keys]))) == len(set(keys)), F.lit(False))
+
+
+def licences_text(licences: Column) -> Column:
+    """One line for each (type, required, condition, authority); a missing condition is left out."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    line = lambda x: F.concat_ws(
+        ", ",
+        F.concat(F.lit("type: "), empty(x["type"])),
+        F.concat(F.lit("required: "), F.coalesce(x["required"], F.lit(False)).cast("string")),
+        F.concat(F.lit("condition: "), x["condition"]),
+        F.concat(F.lit("authority: "), empty(x["authority"])),
+    )
+    return F.array_join(F.transform(F.coalesce(licences, F.array().cast("array<struct<type:string,required:boolean,condition:string,authority:string>>")), line), "\n ")

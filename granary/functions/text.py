@@ -57,6 +57,42 @@ WARNING_LINE = r"\n*>\s*주의:\s*이 답변은 참고 자료 인용이 누락
 # A citation of a law.
 LAW_CITATION = r"제\s*\d+\s*조|법\s+제\s*\d+|시행령|시행규칙|동법|같은\s*법"
 
+# Attempts to take over a prompt, each with its name, in the order in which they are filtered.
+INJECTIONS = (
+    (r"ignore\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)", "ignore previous instructions"),
+    (r"disregard\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)", "disregard previous instructions"),
+    (r"forget\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)", "forget previous instructions"),
+    (r"override\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)", "override previous instructions"),
+    (r"(print|show|reveal|display|output|repeat)\s+(the\s+)?(system\s+prompt|initial\s+prompt|instructions?|hidden\s+prompt)", "reveal system prompt"),
+    (r"you\s+are\s+now\s+", "role override (you are now)"),
+    (r"act\s+as\s+(if\s+you\s+are\s+|a\s+)?", "role override (act as)"),
+    (r"pretend\s+(you\s+are|to\s+be)\s+", "role override (pretend)"),
+    (r"from\s+now\s+on\s+you\s+(are|will|should|must)", "role override (from now on)"),
+    (r"new\s+(instructions?|rules?|role|persona)\s*:", "new instructions injection"),
+    (r"(do\s+not|don'?t)\s+follow\s+(your|the|any)\s+(rules?|instructions?|guidelines?)", "instruction bypass"),
+    (r"jailbreak", "jailbreak attempt"),
+    (r"DAN\s+mode", "DAN mode attempt"),
+    (r"\[SYSTEM\]|\[INST\]|\[/INST\]|<<SYS>>|<\|im_start\|>", "special token injection"),
+    (r"이전\s*(의\s*)?(지시|명령|프롬프트|규칙|지침)(을|는|은)?\s*(무시|잊어|잊으|무효|취소|삭제)", "이전 지시 무시"),
+    (r"(위|위의|앞의|앞)\s*(지시|명령|프롬프트|규칙|지침)(을|는|은)?\s*(무시|잊어|잊으|무효|취소|삭제)", "위 지시 무시"),
+    (r"시스템\s*프롬프트(를|을)?\s*(보여|출력|알려|공개|표시|반복)", "시스템 프롬프트 공개 시도"),
+    (r"(숨겨진|숨긴|내부|초기)\s*(프롬프트|지시|명령|설정)(를|을)?\s*(보여|출력|알려|공개|표시)", "숨겨진 프롬프트 공개 시도"),
+    (r"너(는|의)\s*(역할|규칙|설정|지침)(을|를|은|는)?\s*(변경|바꿔|수정|무시|잊어)", "역할 변경 시도"),
+    (r"(너는|당신은)\s*이제\s*(부터\s*)?", "역할 재정의 (너는 이제)"),
+    (r"(지금|이제)\s*부터\s*(너는|당신은|네가)", "역할 재정의 (지금부터 너는)"),
+    (r"(새로운|다른)\s*(역할|규칙|지시|명령|페르소나)\s*:", "새 역할 주입"),
+    (r"(모든|전체)\s*(규칙|제한|제약|지침)(을|를|은|는)?\s*(무시|해제|풀어|없애)", "규칙 해제 시도"),
+    (r"(원래|본래|실제)\s*(설정|프롬프트|지시)(가|을|를)?\s*(뭐|무엇|어떻게)", "원래 설정 탐색"),
+)
+
+# Lines of a collection of answers that are page heads and feet.
+PAGE_EDGES = (
+    r"^제\s*\d*\s*장(?:의\s*\d+)?\s*[가-힣\s]+/\s*\d+$",
+    r"^\d+\s*/\s*근로기준법\s*질의회시집$",
+    r"^근로기준법\s*질의회시집$",
+    r"^[가-힣]+\s*/\s*\d+$",
+)
+
 WIDE = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 NARROW = "".join(chr(c - 0xFEE0) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 
@@ -226,3 +262,64 @@ def law_references(c: Column) -> Column:
         lambda acc: acc["out"],
     )
     return F.array_distinct(step)
+
+
+def page_edge(c: Column) -> Column:
+    """A page head or foot, or a page number alone."""
+    c = stripped(c)
+    return c.rlike("|".join(PAGE_EDGES)) | c.rlike(r"^\d+$")
+
+
+def guide_text(c: Column) -> Column:
+    """Without NUL, images, page type tags, fences and rules; blanks collapsed, lines stripped, one blank line at most."""
+    c = F.translate(F.coalesce(c, F.lit("")), "\0", " ")
+    for pattern in (r"!\[.*?\]\(.*?\)", r"\\?\[TYPE:\s*(?:content|form|divider|cover)\\?\]", r"(?m)^```(?:markdown)?\s*$", r"(?m)^-{3,}\s*$"):
+        c = F.regexp_replace(c, pattern, "")
+    c = F.array_join(F.transform(F.split(F.regexp_replace(c, r"[ \t]+", " "), "\n", -1), stripped), "\n")
+    return stripped(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def shortened(c: Column, most: int = 60) -> Column:
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, most), F.lit("…")))
+
+
+def law_prefix(law: Column, number: Column, title: Column, most: int = 60) -> Column:
+    """[law > 제n조(title)], without what is missing; empty without a law and an article."""
+    filled = lambda c: F.coalesce(c, F.lit(""))
+    law, number, title = shortened(filled(law), most), filled(number), filled(title)
+    article = F.concat(F.lit("제"), number, F.lit("조"), F.when(title != "", F.concat(F.lit("("), title, F.lit(")"))).otherwise(""))
+    return F.when(number != "", F.concat(F.lit("["), law, F.lit(" > "), article, F.lit("]"))).when(law != "", F.concat(F.lit("["), law, F.lit("]"))).otherwise("")
+
+
+def references_to_end(c: Column) -> Column:
+    """Table rows of references become notes behind the text, each once."""
+    lines = F.split(c, "\n", -1)
+    is_note = lambda x: F.startswith(x, F.lit("|")) & F.contains(x, F.lit("참고"))
+    cell = lambda x: F.regexp_replace(x, r"^참고\s*", "※ 참고: ")
+    cells = F.flatten(F.transform(F.filter(lines, is_note), lambda x: F.filter(F.transform(F.split(x, r"\|", -1), stripped), lambda y: y != "")))
+    notes = F.array_distinct(F.transform(cells, cell))
+    rest = F.filter(lines, lambda x: ~is_note(x))
+    return F.array_join(F.when(F.size(notes) > 0, F.concat(rest, F.array(F.lit("")), notes)).otherwise(rest), "\n")
+
+
+def admin_info(c: Column) -> Column:
+    """struct(number, date) of the first (office-number, year.month.day.); empty texts without one."""
+    pattern = r"\(([가-힣]+-\d+),\s*(\d{4}\.\d{1,2}\.\d{1,2})\.?\)"
+    return F.struct(F.regexp_extract(c, pattern, 1).alias("number"), F.regexp_extract(c, pattern, 2).alias("date"))
+
+
+def legal(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike(LAW_CITATION)
+
+
+def kept_parts(parts: Column, refusals: Sequence[str], least: int = 50) -> Column:
+    """The parts without a refusal, joined; null where under ``least`` characters are left."""
+    held = F.array_join(F.filter(parts, lambda p: ~F.exists(words(*refusals), lambda r: F.contains(p, r))), "\n")
+    return F.when(F.length(held) >= least, held)
+
+
+def plain_history(messages: Column, most: int = 20) -> Column:
+    """The last messages (role, content) of user and assistant that are not blank, contents stripped."""
+    clean = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), stripped(F.coalesce(m["content"], F.lit(""))).alias("content")))
+    said = F.filter(clean, lambda m: m["role"].isin("user", "assistant") & (m["content"] != ""))
+    return F.slice(said, F.greatest(F.size(said) - most + 1, F.lit(1)), most)

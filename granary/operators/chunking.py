@@ -131,6 +131,13 @@ def chunk(docs: DataFrame, *, text_col: str = "text", size: int = 1500, overlap:
     return rest.mapInArrow(run, schema_with(rest, "chunk_index int, chunk string"))
 
 
+def dispatched(docs: DataFrame, policy: str, **how) -> DataFrame:
+    """``chunk`` with the splitter that each row names; any other name means the default one."""
+    known = F.when(F.col(policy).isin(*SPLITTERS), F.col(policy)).otherwise("default")
+    parts = [chunk(docs.filter(known == name), splitter=name, **how) for name in SPLITTERS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def parents_and_children(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1500, overlap: int = 150, prefix: Column | None = None) -> DataFrame:
     """id, chunk_type (parent or child), parent_id, child_index, body: parents, then their children of 500 characters.
 
@@ -144,3 +151,12 @@ def parents_and_children(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     up = parents.select("id", F.lit("parent").alias("chunk_type"), "parent_id", F.lit(None).cast("int").alias("child_index"), body("text").alias("body"))
     down = children.select("id", F.lit("child").alias("chunk_type"), "parent_id", F.col("chunk_index").alias("child_index"), body("chunk").alias("body"))
     return up.unionByName(down)
+
+
+def case_parts(docs: DataFrame, head: str, points: str, gist: str, full: str) -> DataFrame:
+    """Two rows for each case, ``part`` and ``body``: its summary always, its full text where there is one."""
+    some = lambda c, label: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}:\n"), F.col(c)))
+    lines = F.array_compact(F.array(F.col(head), F.lit(""), some(points, "판시사항"), F.when(some(points, "").isNotNull(), F.lit("")), some(gist, "판결요지")))
+    detail = F.concat(F.col(head), F.lit("\n\n"), some(full, "판례내용"))
+    parts = F.array_compact(F.array(F.struct(F.lit("summary").alias("part"), F.array_join(lines, "\n").alias("body")), F.when(detail.isNotNull(), F.struct(F.lit("detail").alias("part"), detail.alias("body")))))
+    return docs.select("*", F.explode(parts).alias("__p")).select(*docs.columns, "__p.part", "__p.body")

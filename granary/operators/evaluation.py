@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import contains_term
@@ -47,3 +47,11 @@ def aligned_claims(claims: DataFrame, nearest: DataFrame, threshold: float = 1.0
     best = nearest.groupBy("claim_id").agg(F.min("distance").alias("best"))
     per = claims.join(best, "claim_id", "left").withColumn("covered", F.coalesce(F.col("best") <= threshold, F.lit(False)))
     return per.groupBy("question_id").agg(F.avg(F.col("covered").cast("int")).alias("coverage"), F.count(F.lit(1)).alias("n_claims"))
+
+
+def toggle_sweep(runs: DataFrame, config: str, score: str, base: str, digits: int = 6) -> DataFrame:
+    """config, mean, diff to the base configuration, and place; one row for each configuration of a stated grid."""
+    means = runs.groupBy(config).agg(F.round(F.avg(score), digits).alias("mean"))
+    first = means.filter(F.col(config) == base).select(F.col("mean").alias("__base"))
+    both = means.join(F.broadcast(first), F.lit(True), "left")  # one row
+    return both.select(config, "mean", F.round(F.col("mean") - F.col("__base"), digits).alias("diff"), F.rank().over(Window.orderBy(F.col("mean").desc())).alias("place"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import scalars, text
@@ -161,3 +161,50 @@ def search_mode(query: F.Column, domain_words: list[str]) -> tuple[F.Column, F.C
     return mode, k
 
 
+
+
+def rerank(pairs: DataFrame, k: int | Column, score: Column) -> DataFrame:
+    """The k rows of (query_id, rank, ...) with the highest score, then by the old rank; a query with k rows or fewer keeps its order."""
+    few = F.count(F.lit(1)).over(Window.partitionBy("query_id")) <= k
+    scored = pairs.withColumn("__key", F.when(few, F.lit(0.0)).otherwise(-score.cast("double"))).withColumnRenamed("rank", "old_rank")
+    return ranking.top(scored, k, "query_id", [F.col("__key"), F.col("old_rank")]).drop("__key")
+
+
+def over_fetched(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, times: int = 3, **how) -> DataFrame:
+    """``hybrid`` over the first ``times`` k of either list, cut at as many."""
+    held = F.col("rank") <= times * k
+    return hybrid(vector_hits.filter(held), keyword_hits.filter(held), times * k, **how)
+
+
+def without_copies(domain: DataFrame, common: DataFrame) -> DataFrame:
+    """Domain hits, then common ones (query_id, rank, content_key, origin, score): equal contents once, and one row of each origin; adds ``place``."""
+    both = domain.withColumn("__list", F.lit(0)).unionByName(common.withColumn("__list", F.lit(1)))
+    both = both.withColumn("seq", F.row_number().over(Window.partitionBy("query_id").orderBy("__list", "rank"))).drop("__list")
+    once = ranking.first_by(both, [F.col("query_id"), F.col("content_key")], [F.col("seq")])
+    return ranking.best_of_origin(once, "query_id", "origin", "score", "seq")
+
+
+def with_neighbours(hits: DataFrame, domains: DataFrame, adjacent: DataFrame, k: int) -> DataFrame:
+    """Hits (query_id, domain, rank) of a query's own domain, then the first ``k`` of each adjacent one; adds ``place``.
+
+    ``domains``: query_id, domain; ``adjacent``: domain, neighbour, turn.
+    """
+    own = domains.select("query_id", "domain", F.lit(0).alias("turn"), F.lit(1 << 30).alias("most"))
+    near = domains.join(adjacent, "domain").select("query_id", F.col("neighbour").alias("domain"), "turn", F.lit(k).alias("most"))
+    w = Window.partitionBy("query_id", "domain").orderBy("rank")
+    some = hits.withColumn("__n", F.row_number().over(w)).join(own.unionByName(near), ["query_id", "domain"]).filter(F.col("__n") <= F.col("most"))
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "rank"))).drop("__n", "most", "turn")
+
+
+def graduated(levels: list[DataFrame]) -> DataFrame:
+    """Verdicts (query_id, passed, ...) of several levels: the first that passed, else the last; adds ``level`` from 0."""
+    every = levels[0].withColumn("level", F.lit(0))
+    for k, df in enumerate(levels[1:], 1):
+        every = every.unionByName(df.withColumn("level", F.lit(k)))
+    order = [F.col("passed").desc(), F.when(F.col("passed"), F.col("level")).otherwise(-F.col("level"))]
+    return ranking.first_by(every, [F.col("query_id")], order)
+
+
+def final_k(candidates: Column, ratio: float = 0.7, least: int = 5, most: int = 15) -> Column:
+    """How many of a query's candidates are left after the merge."""
+    return F.least(F.greatest(F.lit(least), F.floor(candidates * ratio)), F.lit(most)).cast("int")

@@ -150,3 +150,69 @@ def paged(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame
     return rows.crossJoin(F.broadcast(total)).withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
 
 
+
+
+def read_since(rows: DataFrame, cursors: DataFrame, key: str, at: str, cursor: str, now: Column) -> DataFrame:
+    """``rows`` in (cursor, now] of their key; a key whose cursor is null reads nothing yet."""
+    return rows.join(cursors.select(key, cursor), key).filter((F.col(at) > F.col(cursor)) & (F.col(at) <= now))
+
+
+def still_to_send(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The rows of ``batch`` whose key is not stored yet, with ``copies``: how often the batch holds that key."""
+    counts = batch.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
+    return batch.join(stored.select(key).distinct(), key, "left_anti").join(counts, key)
+
+
+def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``new`` over ``stored``; missing texts become empty ones."""
+    texts = [c for c, kind in stored.dtypes if kind == "string"]
+    return stored.join(new.select(key), key, "left_anti").unionByName(new.fillna("", texts))
+
+
+def job_log(steps: DataFrame, job: str, at: str, kind: str, begins: str, fails: str) -> DataFrame:
+    """Each beginning with its status (success, fail, or running without a next step) and duration_ms."""
+    w = Window.partitionBy(job).orderBy(at, F.col(kind) != begins)
+    ended = steps.withColumn("__kind", F.lead(kind).over(w)).withColumn("__at", F.lead(at).over(w)).filter(F.col(kind) == begins)
+    status = F.when(F.col("__kind").isNull(), "running").when(F.col("__kind") == fails, "fail").otherwise("success")
+    millis = ((F.unix_micros(F.col("__at").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1000).cast("long")
+    return ended.withColumn("status", status).withColumn("duration_ms", millis).drop("__kind", "__at")
+
+
+def cache_outcomes(reads: DataFrame, key: str, at: str, ttl: str, order: str) -> DataFrame:
+    """``hit``: whether the key's last read, which stores it, is at most ``ttl`` old. Spark's storage evicts by itself."""
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, order))
+    return reads.withColumn("hit", F.coalesce(F.col(at) <= before + F.expr(f"interval {ttl}"), F.lit(False)))
+
+
+def look_back(df: DataFrame, by: list[str], at: str, seconds: int) -> DataFrame:
+    """``recent``: rows of the group in the last ``seconds`` up to each row, itself included."""
+    w = Window.partitionBy(*by).orderBy("__micros").rangeBetween(-seconds * 1_000_000, 0)
+    return df.withColumn("__micros", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("recent", F.count(F.lit(1)).over(w)).drop("__micros")
+
+
+def last_rows(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
+    """The last ``most`` rows of each group; what lies before them never travels."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.col(order).desc()))).filter(F.col("__n") <= most).drop("__n")
+
+
+def thread_title(root: Column, first: Column, default: str, length: int = 30) -> Column:
+    """The root's question, else the first one, else the default; cut with an ellipsis."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    title = F.coalesce(some(root), some(first), F.lit(default))
+    return F.when(F.length(title) > length, F.concat(F.substring(title, 1, length), F.lit("..."))).otherwise(title)
+
+
+def batch_report(runs: DataFrame, status: str, seconds: str, tokens: str, cost: str, alert: float = 0.3) -> DataFrame:
+    """One row: counts by status (pass, fail, reject), mean seconds of passed runs, sums, and whether too many were rejected."""
+    count = lambda v: F.count_if(F.col(status) == v)
+    one = runs.agg(
+        F.count(F.lit(1)).alias("n"), count("pass").alias("passed"), count("fail").alias("failed"), count("reject").alias("rejected"),
+        F.avg(F.when(F.col(status) == "pass", F.col(seconds))).alias("mean_seconds"), F.sum(tokens).alias("tokens"), F.sum(cost).alias("cost"),
+    )
+    return one.withColumn("alert", F.coalesce(F.try_divide(F.col("rejected"), F.col("n")) > alert, F.lit(False)))
+
+
+def expiring(sessions: DataFrame, ttl: str, session: str, most: int) -> DataFrame:
+    """Sessions (JSON) with 0 to ``most`` seconds left that are of the second version and have a user and turns."""
+    s = F.from_json(session, "v int, user_id string, turns array<string>")
+    return sessions.filter(F.col(ttl).between(0, most)).filter((s["v"] == 2) & (F.coalesce(s["user_id"], F.lit("")) != "") & (F.size(F.coalesce(s["turns"], F.array().cast("array<string>"))) > 0))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from granary.functions import text
 from granary.operators import chunking
 from granary.plans.registry import query, table
-from granary.streaming import state
 
 
 @query()
@@ -16,6 +15,13 @@ def h01_recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", F.length("chunk").alias("length"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+@query()
+def h02_dispatched_split(spark: SparkSession, d: str) -> DataFrame:
+    """Each policy's rows go to its own splitter."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n"), "source").alias("text"), F.get(text.words("default", "table_aware", "qa_aware"), F.col("doc_id") % 3).alias("policy"))
+    return chunking.dispatched(docs, "policy").select("doc_id", "policy", "chunk_index", F.length("chunk").alias("length"))
+
+
 @query()
 def h03_table_aware_split(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n"), "source").alias("text"))
@@ -64,9 +70,3 @@ def f03_metadata_whitelist(spark: SparkSession, d: str) -> DataFrame:
     allowed = F.when(F.col("source").isin("src1", "src2"), text.words("lang")).otherwise(F.array().cast("array<string>"))
     kept = F.map_filter(meta, lambda k, _: F.array_contains(allowed, k))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.map_keys(kept), ",").alias("kept"))
-
-
-@query()
-def r01_token_bucket(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return state.token_bucket_batch(e, rate=1 / 3600, capacity=3.0).withColumn("tokens", F.round("tokens", 6)).withColumn("retry_after", F.round("retry_after", 3))

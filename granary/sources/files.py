@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,16 @@ from granary.functions.text import stripped
 from granary.sources import schemas
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; one of this machine's only where all tasks run here too."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.gettempdir()
+    return f"{found}/{label}-{uuid.uuid4().hex}"
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One object a line; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -57,10 +70,22 @@ def law_articles(spark: SparkSession, path: str) -> DataFrame:
     return a.select("law_id", "law_name", F.col("a.number").alias("article_number"), F.col("a.title").alias("article_title"), body.alias("content")).filter(~gone)
 
 
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([x.decode(e) for x, e in zip(content, encoding, strict=True)])
+
+
 def legacy_csv(spark: SparkSession, path: str, encoding: str = "EUC-KR", keep: Column | None = None) -> DataFrame:
-    """CSV in a character set that Spark reads only with its older, wider list of sets switched on."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = spark.read.option("header", True).option("encoding", encoding).csv(path)
+    """CSV with a heading, in any character set.
+
+    Spark's own reader knows a short list of sets unless a setting of the whole
+    session widens it, so files come as bytes, one a row, and are decoded
+    first; such exports are small.
+    """
+    lines = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(decoded("content", F.lit(encoding)), r"\r?\n", -1)).alias("n", "line"))
+    names = lines.filter("n = 0").orderBy("path").first()["line"].split(",")
+    fields = ", ".join(f"`{n.strip()}` string" for n in names)
+    rows = lines.filter("n > 0 AND line <> ''").select(F.from_csv("line", fields).alias("r")).select("r.*")
     return rows if keep is None else rows.filter(keep)
 
 
@@ -116,3 +141,26 @@ def rewrite_if_changed(before: DataFrame, after: DataFrame, key: str, path: str)
     if changed:
         after.write.mode("errorifexists").parquet(path)
     return changed
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of the driver's, through Hadoop's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def markdown_report(df: DataFrame, most: int = 1000) -> str:
+    """A report of ``most`` rows at the most as a Markdown table, ordered by its first column; more rows are an error."""
+    rows = df.orderBy(df.columns[0]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    return "\n".join("| " + " | ".join(map(str, r)) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
