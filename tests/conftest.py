@@ -12,7 +12,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "4g", 4)
+    s = local_session(4, "4g", 2)
+    s.conf.set("spark.sql.adaptive.enabled", "false")  # planning again after each stage costs most of the time on tables as small as these
+    return s
 
 
 @pytest.fixture(scope="session")

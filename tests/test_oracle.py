@@ -32,14 +32,16 @@ def test_rows_equal_sql(spark, duck, sf, name):
     assert rows_of(df.columns, df.collect()) == rows_of(sql.columns, sql.fetchall())
 
 
-@pytest.mark.parametrize("name", ["i02_bm25", "i06_hybrid", "i19_merge_collections", "a06_latency", "w09_page_ranges"])
-def test_partitions_do_not_matter(spark, sf, name):
+@pytest.mark.parametrize("name", ["i02_bm25", "i06_hybrid", "i19_merge_collections", "a06_latency", "w09_page_ranges", "w12_merged_articles", "t09_deadline_order"])
+def test_partitions_and_adaptive_plans_do_not_matter(spark, sf, name):
     found = []
-    for n in ("1", "7"):
+    for n, adaptive in (("1", "false"), ("7", "true")):
         spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         df = plans.QUERIES[name](spark, sf)
         found.append(rows_of(df.columns, df.collect()))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     assert found[0] == found[1]
 
 
