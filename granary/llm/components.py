@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise
+from granary.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,9 +27,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A node absent from the result is its own root. Minima are folded before
     each shuffle, so the hub of a large group costs no more than its edges.
     """
-    now = edges.select("u", "v").filter(F.col("u") != F.col("v"))
+    now, before = edges.select("u", "v").filter(F.col("u") != F.col("v")), None
     for _ in range(most_rounds):
         now = materialise(_small_star(_large_star(now)), "stars")
+        if before is not None:
+            discard(edges.sparkSession, before)
+        before = now
         # done when the edges are stars: no root has a root itself, no node has two
         roots = now.select(F.col("v").alias("u"), F.lit(1).alias("n")).distinct()
         more = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).unionByName(roots.withColumn("n", F.lit(1).cast("long")))

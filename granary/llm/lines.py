@@ -9,8 +9,10 @@ meet under a key are verified with a banded bit-parallel edit distance.
 
 Equal lines are one node throughout. A key's lines are first verified against
 its smallest line only; lines still in different components are then compared
-in cells of bounded size. Of each group the first occurrence, by document id,
-stays; all others leave their documents.
+in cells of bounded size, from which only links that join two components
+leave. Lines travel as hashes; texts join where two lines are compared. Of
+each group the first occurrence, by document id, stays; all others leave
+their documents.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import Bloom, across_components
-from granary.llm.common import materialise, mix64, read_table, schema_with, texts_of
+from granary.llm.blocks import Bloom, cells, links_across
+from granary.llm.common import join_spread, masked, materialise, mix64, read_table, released, schema_with, texts_of
 from granary.llm.components import components
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+FEW = 24  # pairs up to which one after the other costs less
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -38,12 +41,12 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 class Params:
     """``distance`` edits at most; stripped lines under ``least_chars`` characters are never compared.
 
-    ``cell`` bounds the lines of a key that one task compares with as many others.
+    ``cell`` bounds the characters (with 256 more a line) of the part of a key's lines that one task compares with another part.
     """
 
     distance: int = 2
     least_chars: int = 20
-    cell: int = 512
+    cell: int = 1 << 21
 
 
 def all_keys(lines: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,13 +131,41 @@ def within(left: list[str], right: list[str], t: int) -> np.ndarray:
     same = np.array([a == b for a, b in zip(left, right, strict=True)], dtype=bool)
     result[same] = True
     todo = np.array([i for i in range(len(left)) if not same[i] and abs(len(left[i]) - len(right[i])) <= t], dtype=np.int64)
-    todo = todo[np.argsort([len(left[i]) for i in todo], kind="stable")] if len(todo) else todo
+    if len(todo) <= FEW:
+        for i in todo:
+            result[i] = _one(left[i], right[i], t)
+        return result
+    todo = todo[np.argsort([len(left[i]) for i in todo], kind="stable")]
     for k in range(0, len(todo), 2048):
         part = todo[k : k + 2048]
         result[part] = _band([left[i] for i in part], [right[i] for i in part], t)
     return result
 
 
+def _one(pattern: str, text: str, t: int) -> bool:
+    """As ``_band`` for a single pair, the pattern's matches looked up by character."""
+    m, n, width = len(pattern), len(text), 2 * t + 1
+    if not n:
+        return m <= t
+    full, at = (1 << width) - 1, {}
+    for i, c in enumerate(pattern):
+        at[c] = at.get(c, 0) | 1 << (i + t)
+    vp, vn, dist = full & ~((1 << t) - 1), 0, min(m, t)
+    for j, c in enumerate(text):
+        eq = at.get(c, 0) >> j & full
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
+        hp, hn = (vn | ~(d0 | vp)) & full, d0 & vp
+        if j + t < m:
+            dist += 1 - (d0 >> (width - 1) & 1)
+        else:
+            bit = min(max(m - j - 1 + t, 0), width - 1)
+            dist += (hp >> bit & 1) - (hn >> bit & 1)
+        vp, vn = (hn | ~((d0 >> 1) | hp)) & full, (d0 >> 1) & hp
+        if dist > 2 * t + abs(n - m):
+            return False
+    return dist <= t
+
+
 def _band(pattern: list[str], text: list[str], t: int) -> np.ndarray:
     (p, m), (s, n) = padded(pattern), padded(text)
     width, one = 2 * t + 1, np.uint64(1)
@@ -195,12 +226,16 @@ def occurrences(base: DataFrame, p: Params) -> DataFrame:
                         line.append(line_hash(x))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row, ids, no, line)], names=["__row", "__id", "line_no", "line"])
 
-    return base.select("__row", "__id", "__text").mapInArrow(run, "__row long, __id long, line_no long, line long")
+    return base.select("__row", "__id", "__text").mapInArrow(released(run), "__row long, __id long, line_no long, line long")
 
 
 def key_rows(base: DataFrame, p: Params, only: Bloom | None = None) -> DataFrame:
-    """key, line, own; with ``only``, the rows whose key passes it, and the line's text."""
-    columns = "key long, line long, own boolean" + (", text string" if only else "")
+    """key, line, own.
+
+    With ``only``, the rows whose key passes it, with weight; and for each of
+    their lines a row with its text and no key.
+    """
+    columns = "key long, line long, own boolean" + (", weight long, text string" if only else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -214,37 +249,60 @@ def key_rows(base: DataFrame, p: Params, only: Bloom | None = None) -> DataFrame
                         continue
                     stays = only.passes(key.view(np.int64))
                     key, at, own = merged(key[stays], at[stays], own[stays])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at]), pa.array(own), pa.array([part[k] for k in at], pa.string())], names=["key", "line", "own", "text"])
+                    some = np.unique(at)
+                    weight = np.array([len(x) for x in part], dtype=np.int64) + 256
+                    columns_ = [
+                        pa.array(np.concatenate([key.view(np.int64), np.zeros(len(some), np.int64)]), mask=np.arange(len(key) + len(some)) >= len(key)),
+                        pa.array(line[np.concatenate([at, some])]),
+                        pa.array(np.concatenate([own, np.zeros(len(some), bool)])),
+                        pa.array(weight[np.concatenate([at, some])]),
+                        pa.array([None] * len(key) + [part[k] for k in some], pa.string()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns_, names=["key", "line", "own", "weight", "text"])
+
+    return base.select("__text").mapInArrow(released(run), columns)
+
+
+class _Cell:
+    """The lines of a cell: pruned by counts of characters, verified by edit distance."""
 
-    return base.select("__text").mapInArrow(run, columns)
+    def __init__(self, held: pa.Table, t: int) -> None:
+        self.t, self.own, self.text = t, held.column("own").to_numpy(), held.column("text").to_pylist()
+        self.counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 31, minlength=32) for x in self.text]).astype(np.int32)
+
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        """An edit changes two counts by one at most."""
+        others = others[self.own[i] | self.own[others]]
+        return others[np.abs(self.counts[others] - self.counts[i]).sum(axis=1) <= 2 * self.t]
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return within([self.text[i] for i in a], [self.text[j] for j in b], self.t)
 
 
 def links(base: DataFrame, p: Params) -> DataFrame:
     """(u, root) over line hashes: which lines belong together, as ``components`` gives it."""
-    meet = key_rows(base, p).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.bool_or("own").alias("own"))
-    open_ = materialise(meet.filter(F.col("own") & (F.col("a") != F.col("b"))).select("key", F.col("a").alias("least")), "open_keys")
-    members = materialise(key_rows(base, p, Bloom(open_, "key")).join(open_, "key").dropDuplicates(["key", "line"]), "members")
-    first = members.filter(F.col("line") == F.col("least")).select("key", F.col("text").alias("least_text"))
-    stars = members.filter(F.col("line") != F.col("least")).join(first, "key").select(F.col("least").alias("u"), F.col("line").alias("v"), "least_text", "text")
+    meet = key_rows(base, p).groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.bool_or("own").alias("own"), F.count(F.lit(1)).alias("n"))
+    open_ = materialise(meet.filter(F.col("own") & (F.col("a") != F.col("b"))).select("key", F.col("a").alias("least"), "n"), "open_keys")
+    again = materialise(key_rows(base, p, Bloom(open_, "key")), "key_rows")
+    members = again.filter(F.col("key").isNotNull()).drop("text").dropDuplicates(["key", "line"])
+    members = materialise(join_spread(members, open_, "key", "n").select("key", F.col("line").alias("node"), "own", "weight", "least"), "members")
+    texts = again.filter(F.col("key").isNull()).select(F.col("line").alias("node"), "text").dropDuplicates(["node"])
+    texts = materialise(texts.join(members.select("node").distinct(), "node", "left_semi"), "line_texts")
+
+    stars = members.filter(F.col("node") != F.col("least")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
+    both = stars.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.select(["u", "v"]).filter(pa.array(within(b.column("least_text").to_pylist(), b.column("text").to_pylist(), p.distance)))
-
-    linked = materialise(stars.mapInArrow(verify, "u long, v long").distinct(), "line_links")
-    roots = components(linked)
-    rooted = members.join(roots.withColumnRenamed("u", "line"), "line", "left").select("key", F.col("line").alias("node"), F.coalesce("root", "line").alias("root"), "own", "text")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("key")
+                yield b.select(["u", "v"]).filter(pa.array(within(b.column("tu").to_pylist(), b.column("tv").to_pylist(), p.distance)))
 
-    def check(held: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        own, text = held.column("own").to_numpy(), held.column("text").to_pylist()
-        kept = np.flatnonzero(own[a] | own[b])
-        return kept[within([text[i] for i in a[kept]], [text[i] for i in b[kept]], p.distance)]
-
-    more = materialise(across_components(rooted.join(mixed, "key", "left_semi"), check, p.cell), "line_links")
-    if more.isEmpty():
+    roots = components(materialise(both.select("u", "v", "tu", "tv").mapInArrow(verify, "u long, v long"), "line_links"))
+    rooted = members.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "own", "weight", F.coalesce("root", "node").alias("root"))
+    met = materialise(cells(materialise(rooted, "rooted"), p.cell), "cells")
+    if met.isEmpty():
         return roots
+    more = materialise(links_across(met, texts, lambda held: _Cell(held, p.distance)), "line_links")
     return components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
@@ -259,8 +317,8 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str =
     """
     p = params or Params()
     docs = docs.drop("removed_lines")
-    names = docs.columns
-    source = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string")})
+    plain, names, (id_at, text_at) = masked(docs, id_col, text_col)
+    source = plain.withColumns({"__id": F.col(id_at).cast("long"), "__text": F.col(text_at).cast("string")}).drop(text_at)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -268,7 +326,7 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str =
             yield b.append_column("__row", pa.array(np.arange(row, row + b.num_rows)))
             row += b.num_rows
 
-    base = materialise(source.drop(text_col).mapInArrow(number, schema_with(source.drop(text_col), "__row long")), "lines")
+    base = materialise(source.mapInArrow(number, schema_with(source, "__row long")), "lines")
     seen = materialise(occurrences(base, p), "occurrences")
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("line_no").alias("no"))
     each = seen.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -283,10 +341,17 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str =
     touched = Bloom(gone, "__row")
     some = touched.rows(base, "__row").join(gone.hint("merge"), "__row", "left")  # the list grows with the corpus
     none = touched.rows(base, "__row", passing=False).withColumn("removed_lines", F.lit(None).cast("array<long>"))
-    rest = F.filter(F.split("__text", "\n", -1), lambda _, i: ~F.array_contains("removed_lines", i.cast("long")))
-    text = F.when(F.col("removed_lines").isNull(), F.col("__text")).otherwise(F.array_join(rest, "\n"))
-    both = some.select(*none.columns).unionByName(none)
-    return both.withColumn(text_col, text).select(*names, F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = []
+            for text, lines in zip(b.column("__text").to_pylist(), b.column("removed_lines").to_pylist(), strict=True):
+                out = set(lines or ())
+                left.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in out) if out else text)
+            yield b.set_column(b.schema.get_field_index("__text"), "__text", pa.array(left, pa.string()))
+
+    both = some.select(*none.columns).mapInArrow(released(cut), none.schema).unionByName(none)
+    return both.select(*[F.col("__text" if c == text_at else c).alias(n) for c, n in zip(plain.columns, names, strict=True)], F.coalesce("removed_lines", F.array().cast("array<long>")).alias("removed_lines"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

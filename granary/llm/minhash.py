@@ -9,17 +9,16 @@
    prior) is Beta(m + 1, n - m + 1); the pair is dropped as soon as the
    probability of reaching the threshold falls under ``miss``.
 4. Survivors are verified exactly on their full shingle sets.
-5. The links join nodes into components. Each member is then paired with a
-   few random ones of its bucket that are in other components: a node with
-   links to many members of a group finds one of them in one of its buckets.
-6. Bucket members that are even then in different components are compared
-   within cells of bounded size, and only likely pairs leave a cell; they are
-   verified likewise, and the components are formed again. Pairs inside one
-   component add nothing to it, so groups of thousands of near copies cost a
-   few stars, not all their pairs.
+5. The links join nodes into components. Buckets whose members are then in
+   different components become cells of bounded size, which hold the sets of
+   their members: candidates across components are pruned as in 3, verified
+   on the spot, the likeliest first, and only links that join two components
+   leave the cell. So a group of near copies costs its members, not its
+   pairs, in rows; pairs are compared only where nothing has joined them yet,
+   and each in the first bucket that it shares.
 
 With 44 bands of 6 a pair at similarity 0.8 shares no band with probability
-1.5e-6; ``miss`` adds at most 5e-6.
+1.5e-6; its eight tests at ``miss`` add at most 8e-6.
 """
 
 from __future__ import annotations
@@ -37,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.blocks import Bloom, across_components
-from granary.llm.common import binary_rows, materialise, mix64, read_table, texts_of
+from granary.llm.blocks import Bloom, cells, links_across
+from granary.llm.common import binary_rows, join_spread, masked, materialise, mix64, read_table, released, texts_of
 from granary.llm.components import components
 
 
@@ -46,8 +45,7 @@ from granary.llm.components import components
 class Plan:
     """Shingle width, threshold in percent, bands, rows a band; signature positions compared, by batch; miss probability.
 
-    ``cell`` bounds the members of a bucket that one task compares with as many others; ``stars`` is the number of
-    random ones with which each is paired before that.
+    ``cell`` bounds the shingles (with 256 more a member) of the part of a bucket that one task compares with another part.
     """
 
     words: int = 5
@@ -56,8 +54,7 @@ class Plan:
     rows: int = 6
     batch: int = 33
     compared: int = 264
-    stars: int = 3
-    cell: int = 512
+    cell: int = 1 << 21
     miss: float = 1e-6
     seed: int = 7
 
@@ -138,7 +135,7 @@ def shingled(docs: DataFrame, plan: Plan, id_col: str, text_col: str, passed: li
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
                 row += n
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def _prune(left: np.ndarray, right: np.ndarray, plan: Plan, bounds: list[int]) -> np.ndarray:
@@ -176,16 +173,45 @@ def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     return with_sigs.mapInArrow(prune, "u long, v long")
 
 
-def _likely_across(members: DataFrame, plan: Plan) -> DataFrame:
-    """The likely pairs of bucket members in different components; ``members`` has key, node, root, n_shingles, sig."""
-    bounds = least_matches(plan)
+class _Cell:
+    """The members of a cell: pruned by signature, verified on their sets."""
+
+    def __init__(self, held: pa.Table, plan: Plan, bounds: list[int]) -> None:
+        self.plan, self.bounds, self.band = plan, bounds, held.column("band").to_numpy()
+        self.sig = _signatures(held.column("sig").combine_chunks())
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in held.column("set").to_pylist()]
+        self.size = np.array([len(x) for x in self.sets])
+
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        size, plan = self.size, self.plan
+        near = others[np.minimum(size[i], size[others]) * 100 >= np.maximum(size[i], size[others]) * plan.percent]
+        near = near[_prune(np.broadcast_to(self.sig[i], (len(near), plan.hashes)), self.sig[near], plan, self.bounds)]
+        if not len(near):
+            return near
+        same = self.sig[near] == self.sig[i]
+        first = same.reshape(len(near), plan.bands, plan.rows).all(axis=2).argmax(axis=1)
+        mine = first >= self.band[i]  # with an earlier band in common, they meet in that bucket
+        return near[mine][np.argsort(-same[mine].sum(axis=1), kind="stable")]
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = np.array([len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], dtype=np.int64)
+        return 100 * shared >= self.plan.percent * (self.size[a] + self.size[b] - shared)
+
 
-    def check(held: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size, sig = held.column("n_shingles").to_numpy(), _signatures(held.column("sig").combine_chunks())
-        fits = np.flatnonzero(np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * plan.percent)
-        return fits[_prune(sig[a[fits]], sig[b[fits]], plan, bounds)]
+def _sets(wanted: DataFrame, base: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """node, sig and set (sorted 64-bit hashes) of the wanted nodes."""
+    needed = Bloom(wanted, "node")
 
-    return across_components(members, check, plan.cell)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                b = b.filter(pa.array(needed.passes(b.column("__row").to_numpy())))
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array([shingles(t, plan.words).tobytes() for t in texts_of(b, "__text")], pa.binary())], names=["node", "set"])
+
+    sets = base.select("__row", "__text").mapInArrow(released(run), "node long, set binary")
+    return sets.join(wanted, "node", "left_semi").join(nodes.select("node", "sig"), "node")
 
 
 def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
@@ -204,14 +230,7 @@ def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
                     keep.append(100 * shared >= plan.percent * (len(x) + len(y) - shared))
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(verify, "u long, v long")
-
-
-def _still_apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, root of the buckets of three or more whose members are in different components."""
-    rooted = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("key")
-    return rooted.join(mixed, "key", "left_semi")
+    return both.mapInArrow(released(verify), "u long, v long")
 
 
 def cluster(base: DataFrame, plan: Plan) -> DataFrame:
@@ -222,24 +241,21 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     nodes = materialise(nodes, "nodes")
     width = 2 * plan.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(plan.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    banded = nodes.select("node", F.explode(keys).alias("key"))
+    banded = nodes.select("node", "n_shingles", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    buckets = materialise(banded.join(shared, "key").select("key", "node", "least", "n"), "buckets")
+    buckets = materialise(join_spread(banded, materialise(shared, "shared"), "key", "n").select("key", "band", "node", "n_shingles", "least", "n"), "buckets")
 
     stars = materialise(buckets.filter(F.col("node") != F.col("least")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     links = materialise(_verified(materialise(_likely(stars, nodes, plan), "likely"), base, plan), "links")
     roots = components(links)
 
-    left = _still_apart(buckets, roots)
-    centers = left.groupBy("key").agg(F.array(*[F.min_by(F.struct("node", "root"), F.xxhash64("node", "key", F.lit(t))) for t in range(plan.stars)]).alias("c"))
-    pairs = left.join(centers, "key").select("node", "root", F.explode("c").alias("c")).filter(F.col("root") != F.col("c.root"))
-    pairs = pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
-    found = materialise(_verified(materialise(_likely(pairs, nodes, plan), "likely"), base, plan), "links")
-    roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
-    members = _still_apart(buckets, roots).join(nodes, "node")
-    likely = materialise(_likely_across(members, plan), "likely")
-    if not likely.isEmpty():
-        found = materialise(_verified(likely, base, plan), "links")
+    rooted = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left")
+    rooted = materialise(rooted.select("key", "band", "node", (F.col("n_shingles") + 256).alias("weight"), F.coalesce("root", "node").alias("root")), "rooted")
+    met = materialise(cells(rooted, plan.cell), "cells")
+    if not met.isEmpty():
+        bounds = least_matches(plan)
+        contents = materialise(_sets(met.select("node").distinct(), base, nodes, plan), "sets")
+        found = materialise(links_across(met, contents, lambda held: _Cell(held, plan, bounds)), "links")
         roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
     return groups.join(roots.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
@@ -271,14 +287,14 @@ def keep_one(docs: DataFrame, plan: Plan | None = None, *, id_col: str = "doc_id
     Rows without words all stay. Columns come back as they were.
     """
     plan = plan or Plan()
-    names = docs.columns
-    base = materialise(shingled(docs, plan, id_col, text_col, names), "shingled")
+    plain, names, (id_at, text_at) = masked(docs, id_col, text_col)
+    base = materialise(shingled(plain, plan, id_at, text_at, [c for c in plain.columns if c != text_at]), "shingled")
     labels = cluster(base, plan)
     rank = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     first = base.filter(F.col("n_shingles") > 0).groupBy("digest").agg(F.min(rank).alias("r"))
     stay = first.join(labels, "digest").groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.row").alias("__row"))
-    kept = base.filter(F.col("n_shingles") > 0).join(stay, "__row", "left_semi").select(names)
-    return kept.unionByName(base.filter(F.col("n_shingles") == 0).select(names))
+    kept = base.filter(F.col("n_shingles") > 0).join(stay, "__row", "left_semi").unionByName(base.filter(F.col("n_shingles") == 0))
+    return kept.select(*[F.col("__text").cast(plain.schema[c].dataType).alias(n) if c == text_at else F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)])
 
 
 CONTRACT = Plan(words=2)

@@ -64,7 +64,7 @@ class Encoder:
     ``most`` chunks of up to 64 characters and lives as long as the worker.
     """
 
-    def __init__(self, json_file: str, rank_file: str, most: int = 400_000) -> None:
+    def __init__(self, json_file: str, rank_file: str, most: int = 150_000) -> None:
         key = (json_file, rank_file)
         if key not in _kept:
             _kept[key] = _Memo(rank_file, json_file, most)
