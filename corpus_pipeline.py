@@ -31,7 +31,8 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("toxicity") < 0.5).drop("toxicity")
+    mark = "score_of_" + "_".join(docs.columns)  # a name that no column has
+    return toxicity.score(docs, model, keep=docs.columns, name=mark).filter(F.col(mark) < 0.5).drop(mark)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
