@@ -33,7 +33,7 @@ class Params:
     """``sample`` bounds the rows from which pivots are chosen; ``pivots`` times ``rings`` bounds the annuli.
 
     An annulus larger than ``cell`` rows is dealt to several cells by a hash
-    of the id, and queries come in blocks of ``block``, so a task holds one
+    of the row, and queries come in blocks of ``block``, so a task holds one
     cell of vectors and one block of queries.
     """
 
@@ -53,6 +53,16 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & ~bad)
 
 
+def same_width(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with their vectors (x, q) filled up with 0 to the greatest width among them."""
+    wide = [df.agg(F.min(F.size(c)), F.max(F.size(c))).first() for df, c in ((vectors, "x"), (queries, "q"))]
+    seen = [w for row in wide for w in row if w is not None]
+    if len(set(seen)) <= 1:
+        return vectors, queries
+    fill = lambda c, kind: F.concat(c, F.array_repeat(F.lit(0).cast(kind.elementType), F.lit(max(seen)) - F.size(c)))
+    return vectors.withColumn("x", fill("x", vectors.schema["x"].dataType)), queries.withColumn("q", fill("q", queries.schema["q"].dataType))
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column as rows of equal width."""
     n = len(column)
@@ -146,19 +156,21 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, params: Params | None =
     """query_id, rank, vec_id, score: each query's ``k`` largest integer inner products among all other rows.
 
     ``vectors`` has vec_id (long) and x (array<long>), ``queries`` query_id
-    and q. All widths are equal. Ties go to the smaller vec_id. A repeated
-    vec_id is a candidate of its own each time and never of a query with that
-    id; repeated queries with one id count once. Empty tables give no rows.
+    and q; shorter vectors count as filled up with 0. Ties go to the smaller
+    vec_id. A repeated vec_id is a candidate of its own each time and never of
+    a query with that id; of queries with one id the least vector counts.
+    Empty tables give no rows.
     """
     p = params or Params()
-    vectors = materialise(vectors.select("vec_id", "x"), "vectors")
+    vectors, queries = same_width(vectors.select("vec_id", "x"), queries.groupBy("query_id").agg(F.min("q").alias("q")))
+    vectors = materialise(vectors, "vectors")
     most, rows = vectors.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)), F.count(F.lit(1))).first()
     if not rows:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     picked = vectors.orderBy(F.xxhash64("vec_id", F.lit(p.seed))).limit(p.sample).toArrow()
     pivots = pivots_of(lifted(matrix(picked.column("x").combine_chunks()), most), p.pivots, p.seed)
 
-    index = materialise(keyed(vectors, pivots, most), "keyed")
+    index = materialise(keyed(vectors, pivots, most).withColumn("n", F.monotonically_increasing_id()), "keyed")
     cuts = F.array(*[F.lit(i / p.rings) for i in range(1, p.rings)])
     edges = index.groupBy("pivot").agg(F.percentile_approx("distance", cuts, F.lit(1000)).alias("edges"))
     ringed = index.join(F.broadcast(edges), "pivot").withColumn("ring", F.size(F.filter("edges", lambda e: e < F.col("distance"))))
@@ -169,7 +181,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, params: Params | None =
     of_pivot, ring = np.array(held["pivot"]), np.array(held["ring"])
     number = {(a, b): i for i, (a, b) in enumerate(zip(held["pivot"], held["ring"], strict=True))}
     labels = vectors.sparkSession.createDataFrame([(a, b, i, int(parts[i])) for (a, b), i in number.items()], "pivot int, ring int, annulus int, parts int")
-    part_of = F.pmod(F.xxhash64("vec_id", F.lit(p.seed)), F.col("parts"))
+    part_of = F.pmod(F.xxhash64("n", F.lit(p.seed)), F.col("parts"))
     cells = materialise(ringed.join(F.broadcast(labels), ["pivot", "ring"]).select((F.col("annulus") * (1 << 20) + part_of).alias("cell"), "vec_id", "x"), "cells")
 
     # widest rounding error of a bound, in units of the score
@@ -200,7 +212,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, params: Params | None =
             t = b.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(block), t.column("query_id"), t.column("q"), t.column("least")], names=["cell", "block", "query_id", "q", "least"])
 
-    queries = materialise(queries.select("query_id", "q").dropDuplicates(["query_id"]), "queries")
+    queries = materialise(queries, "queries")
     blocks = max(1, -(-queries.count() // p.block))
     schema = "cell long, block long, query_id long, q array<long>, least long"
     first = queries.select("query_id", "q", F.lit(None).cast("long").alias("least"), F.lit(0).alias("round")).mapInArrow(ask, schema)
