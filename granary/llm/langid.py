@@ -7,8 +7,7 @@ the texts known to be in it. A text belongs to the prototype with the
 largest cosine.
 
 A text's vector is the sum over its distinct n-grams of count times n-gram
-vector, so counts of n-grams are all that a prototype needs from the corpus;
-they are bounded by the alphabet and added up by Spark.
+vector. Tasks bundle their texts by language; Spark adds the bundles up.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +41,26 @@ class Params:
     seed: int = 11
 
 
+@lru_cache
+def letter_table(letters: int) -> np.ndarray:
+    """The codes of the first planes of characters; from U+3000 on a letter's code follows from its number."""
+    table = np.zeros(0x20000, dtype=np.uint8)
+    lower = 0
+    for point in range(len(table)):
+        kind = unicodedata.category(chr(point))
+        if kind[0] == "L" and (kind == "Lu" or point >= 0x3000):  # capitals without a lower case of their own too
+            table[point] = 1 + point % (letters - 1)
+        elif kind[0] == "L":
+            table[point] = 1 + lower % (letters - 1)
+            lower += 1
+    return table
+
+
 class Letters:
     """Codes of characters: gaps 0, letters 1 to ``letters - 1``; other characters vanish into gaps."""
 
     def __init__(self, params: Params) -> None:
-        self.params = params
-        table = np.zeros(0x3000, dtype=np.uint8)
-        lower = 0
-        for point in range(len(table)):
-            kind = unicodedata.category(chr(point))
-            if kind == "Lu":
-                table[point] = 1 + point % (params.letters - 1)  # without a lower case of its own
-            elif kind[0] == "L":
-                table[point] = 1 + lower % (params.letters - 1)
-                lower += 1
-        self.table = table
+        self.params, self.table = params, letter_table(params.letters)
 
     def codes(self, segment: str) -> np.ndarray:
         """Lower-cased letters with one gap between words and at both ends; empty without letters."""
@@ -98,43 +103,45 @@ class Space:
 
 
 def profile_counts(docs: DataFrame, params: Params, text_col: str, lang_col: str) -> DataFrame:
-    """lang, gram, n over all rows with a language; each task sends each pair once."""
+    """lang, dimension, n: the bundle of all texts of each language; each task bundles its own first.
+
+    Null texts add nothing; rows without a language are left out.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, held = Letters(params), {}
+        letters, space, held = Letters(params), Space(params), {}
         for b in batches:
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
                 if lang not in held:
                     held[lang] = np.zeros(params.letters**3, dtype=np.int64)
-                t = letters.trigrams(text or "")
+                t = letters.trigrams(text.as_py() or "")
                 if len(t):
                     grams, n = np.unique(t, return_counts=True)
                     held[lang][grams] += n
             if len(held) > 8:  # bounds the task's memory
-                yield from told(held)
+                yield from told(held, space)
                 held = {}
-        yield from told(held)
+        yield from told(held, space)
 
-    def told(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def told(held: dict[str, np.ndarray], space: Space) -> Iterator[pa.RecordBatch]:
         for lang, n in held.items():
-            grams = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n[grams])], names=["lang", "gram", "n"])
+            grams, total = np.flatnonzero(n), np.zeros(params.dimensions, dtype=np.int64)
+            for k in range(0, len(grams), 8192):
+                part = grams[k : k + 8192]
+                total += n[part] @ space.vectors(part)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(np.arange(len(total))), pa.array(total)], names=["lang", "dimension", "n"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, dimension long, n long").groupBy("lang", "dimension").agg(F.sum("n").alias("n"))
 
 
 def prototypes(counts: DataFrame, params: Params) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their unit vectors; the rows collected are bounded by languages times letters cubed."""
+    """Languages (sorted) and their unit vectors; one row for each language and dimension is collected."""
     table = counts.toArrow()
-    langs, grams, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-    names, space = sorted(set(langs)), Space(params)
+    langs, at, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "dimension", "n"))
+    names = sorted(set(langs))
     found = np.zeros((len(names), params.dimensions))
-    for i, name in enumerate(names):
-        mine = np.flatnonzero(langs == name)
-        for k in range(0, len(mine), 8192):
-            part = mine[k : k + 8192]
-            found[i] += n[part].astype(float) @ space.vectors(grams[part]).astype(float)
+    found[np.searchsorted(names, langs) if names else at, at] = n
     return names, found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import materialise, read_table, texts_of
+from granary.llm.common import join_spread, masked, materialise, read_table, released, texts_of
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # the same runs as AKIA[A-Z0-9]+ of 20 or more characters
@@ -88,18 +88,18 @@ def scan(docs: DataFrame, text_col: str, passed: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(range(row, row + batch.num_rows), pa.int64()), pa.array(spans, pa.list_(arrow_span))], names=[*passed, "__row", "__spans"])
             row += batch.num_rows
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Owners and repositories of each value hash; ``spans`` has hash, owner, repo.
+    """Owners, repositories and occurrences (n) of each value hash; ``spans`` has hash, owner, repo.
 
     Both counts go through distinct pairs, which every task folds before the
     shuffle, so a value that a third of all rows hold is a few rows by then.
     """
     owners = spans.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
     repos = spans.select("hash", "repo").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repos"))
-    return owners.join(repos, "hash")
+    return owners.join(repos, "hash").join(spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
 
 
 def judged(scanned: DataFrame, owner: F.Column, repo: F.Column, live_owners: int, example_owners: int) -> DataFrame:
@@ -110,7 +110,7 @@ def judged(scanned: DataFrame, owner: F.Column, repo: F.Column, live_owners: int
         .when((F.col("owners") <= live_owners) & F.col("random"), "live")
         .otherwise("unsure")
     )
-    return each.join(ownership(each), "hash").select("__row", "start", "kind_no", "end", "value_start", "owners", "repos", verdict.alias("verdict"), (F.col("random") & (verdict != "example")).alias("hide"))
+    return join_spread(each, materialise(ownership(each), "owners"), "hash", "n").select("__row", "start", "kind_no", "end", "value_start", "owners", "repos", verdict.alias("verdict"), (F.col("random") & (verdict != "example")).alias("hide"))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", live_owners: int = 1, example_owners: int = 3) -> DataFrame:
@@ -136,24 +136,28 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     Overlapping values are replaced as one. Rows without such values come back
     unchanged; null texts stay null.
     """
-    names = docs.columns
-    scanned = materialise(scan(docs, text_col, names), "candidates")
+    plain, names, (text_col, owner_col, repo_col) = masked(docs, text_col, owner_col, repo_col)
+    scanned = materialise(scan(plain, text_col, plain.columns), "candidates")
     hit = scanned.filter(F.size("__spans") > 0)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     hidden = judged(hit, key(owner_col), key(repo_col), live_owners, example_owners).filter("hide")
     spans = hidden.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct(F.col("value_start").alias("start"), "end"))).alias("__hidden"))
-    # a fold from left to right: (text so far, position up to which it has been read)
-    fold = F.aggregate(
-        "__hidden",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    changed = hit.join(spans, "__row", "left").withColumn(text_col, F.when(F.col("__hidden").isNull(), F.col(text_col)).otherwise(fold))
-    return changed.select(names).unionByName(scanned.filter(F.size("__spans") == 0).select(names))
+    changed = hit.join(spans, "__row", "left").select(*plain.columns, "__hidden")
+
+    def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left = []
+            for text, hidden in zip(b.column(text_col).to_pylist(), b.column("__hidden").to_pylist(), strict=True):
+                parts, at = [], 0
+                for s in hidden or ():
+                    if s["start"] >= at:
+                        parts += [text[at : s["start"]], mark]
+                    at = max(at, s["end"])
+                left.append("".join(parts) + text[at:] if hidden else text)
+            yield b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(left, pa.string()))
+
+    changed = changed.mapInArrow(blank, changed.schema)
+    return changed.select(plain.columns).unionByName(scanned.filter(F.size("__spans") == 0).select(plain.columns)).toDF(*names)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

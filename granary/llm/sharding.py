@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from granary.llm.common import materialise, read_table
+from granary.llm.common import masked, materialise, read_table
 
 ADDED = ("bucket", "slot_in_bucket", "shard", "slot")
 
@@ -46,9 +46,10 @@ def shuffled_buckets(df: DataFrame, *, seed: int = 17, bucket_bytes: int = 32 <<
     df = df.drop(*ADDED)
     total = df.agg(F.sum(size)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes), 1)
+    df, names, _ = masked(df)
     scattered = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__to", F.pmod(F.xxhash64("__at", F.lit(seed)), F.lit(buckets)).cast("int"))
     schema = T.StructType(df.schema.fields + [T.StructField("bucket", T.IntegerType()), T.StructField("slot_in_bucket", T.LongType())])
-    names = df.columns
+    plain = df.columns
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -61,13 +62,13 @@ def shuffled_buckets(df: DataFrame, *, seed: int = 17, bucket_bytes: int = 32 <<
         order = at[fisher_yates(len(at), np.random.default_rng([seed, bucket]))]
         step = max(1, int(len(order) * (8 << 20) / max(table.nbytes, 1)))
         for i in range(0, len(order), step):
-            part = table.select(names).take(pa.array(order[i : i + step])).combine_chunks()
+            part = table.select(plain).take(pa.array(order[i : i + step])).combine_chunks()
             n = part.num_rows
             part = part.append_column("bucket", pa.array(np.full(n, bucket, dtype=np.int32))).append_column("slot_in_bucket", pa.array(np.arange(i, i + n)))
             yield from part.to_batches()
 
     dealt = scattered.repartitionById(buckets, F.col("__to")).drop("__to")
-    return materialise(dealt.mapInArrow(shuffle, schema), "shuffled")
+    return materialise(dealt.mapInArrow(shuffle, schema), "shuffled").toDF(*names, "bucket", "slot_in_bucket")
 
 
 def shard(df: DataFrame, *, shards: int = 24, seed: int = 17, bucket_bytes: int = 32 << 20, size: F.Column) -> DataFrame:
@@ -77,16 +78,18 @@ def shard(df: DataFrame, *, shards: int = 24, seed: int = 17, bucket_bytes: int
     rows are ordinary rows; columns named bucket, slot_in_bucket, shard or
     slot are replaced. An empty table gives no rows.
     """
-    rows = shuffled_buckets(df, seed=seed, bucket_bytes=bucket_bytes, size=size)
+    found = shuffled_buckets(df, seed=seed, bucket_bytes=bucket_bytes, size=size)
+    rows, names, _ = masked(found)
+    rows = rows.toDF(*rows.columns[:-2], "bucket", "slot_in_bucket")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__all"))
-    placed = rows.join(F.broadcast(before), "bucket").withColumn("__pos", F.col("__before") + F.col("slot_in_bucket"))
+    placed = rows.join(before, "bucket").withColumn("__pos", F.col("__before") + F.col("slot_in_bucket"))
     low, extra = F.floor(F.col("__all") / shards), F.col("__all") % shards  # the first shards hold one more row
     edge = extra * (low + 1)
     in_long = F.col("__pos") < edge
     number = F.when(in_long, F.expr("__pos div (__all div %d + 1)" % shards)).otherwise(extra + F.floor((F.col("__pos") - edge) / F.greatest(low, F.lit(1))))
     first = F.when(number <= extra, number * (low + 1)).otherwise(edge + (number - extra) * low)
-    return placed.withColumn("shard", number.cast("int")).withColumn("slot", (F.col("__pos") - first).cast("long")).drop("__before", "__all", "__pos", "bucket", "slot_in_bucket")
+    return placed.withColumn("shard", number.cast("int")).withColumn("slot", (F.col("__pos") - first).cast("long")).drop("__before", "__all", "__pos", "bucket", "slot_in_bucket").toDF(*names[:-2], "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:
