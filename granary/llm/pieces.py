@@ -45,6 +45,7 @@ class Pieces:
         self.automaton.make_automaton()
         self.byte_ids, self.most, self.memo = byte_ids, most, {}
         self.unknown = min(score for _, _, score in ordinary) - 10
+        self.window, self.longest = 1 << 16, max(len(piece) for _, piece, _ in ordinary)
         self.single = {piece for _, piece, _ in ordinary if len(piece) == 1}
         # a chunk starts at a marker after other characters; no piece may lie across
         self.chunked = not any(re.search(f"[^{MARK}]{MARK}", piece) for _, piece, _ in ordinary)
@@ -57,36 +58,60 @@ class Pieces:
         return made
 
     def viterbi(self, chunk: str) -> list[int]:
-        """ids of the best segmentation of a chunk."""
-        n = len(chunk)
-        best, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-        done = 0  # positions up to here are final
+        """ids of the best segmentation of a chunk.
+
+        Every ``window`` characters the part on which all paths that can go on
+        agree is settled, so a chunk without blanks holds no more than that.
+        """
+        n, ids, base, done = len(chunk), [], 0, 0  # positions up to done are final, those before base are settled
+        best, back = [0.0], [(0, 0)]
+
+        def reach(at: int) -> None:
+            short = at - base + 1 - len(best)
+            if short > 0:
+                best.extend([float("-inf")] * short)
+                back.extend([(0, 0)] * short)
 
         def single(at: int) -> None:
-            if chunk[at - 1] not in self.single and best[at - 1] + self.unknown > best[at]:
-                best[at], back[at] = best[at - 1] + self.unknown, (-1, 1)
+            reach(at)
+            if chunk[at - 1] not in self.single and best[at - 1 - base] + self.unknown > best[at - base]:
+                best[at - base], back[at - base] = best[at - 1 - base] + self.unknown, (-1, 1)
+
+        def path(at: int) -> list[int]:
+            found: list[int] = []
+            while at > base:
+                i, length = back[at - base]
+                found.extend([i] if i >= 0 else [self.byte_ids[x] for x in reversed(chunk[at - 1].encode("utf-8", "surrogatepass"))])
+                at -= length
+            return found[::-1]
+
+        def settle() -> None:
+            nonlocal base
+            live = {at for at in range(max(base, done + 1 - self.longest), done + 1) if best[at - base] > float("-inf")}
+            while len(live) > 1:
+                at = max(live)
+                live.remove(at)
+                live.add(at - back[at - base][1])
+            at = live.pop()
+            ids.extend(path(at))
+            del best[: at - base], back[: at - base]
+            base = at
 
         for last, (i, length, score) in self.automaton.iter(chunk):
             end = last + 1
             while done < end - 1:
                 done += 1
                 single(done)
-            value = best[end - length] + score
-            if value > best[end]:
-                best[end], back[end] = value, (i, length)
+                if done - base >= self.window and done % self.window == 0:
+                    settle()
+            reach(end)
+            value = best[end - length - base] + score
+            if value > best[end - base]:
+                best[end - base], back[end - base] = value, (i, length)
         while done < n:
             done += 1
             single(done)
-        ids: list[int] = []
-        at = n
-        while at:
-            i, length = back[at]
-            if i >= 0:
-                ids.append(i)
-            else:
-                ids.extend(self.byte_ids[b] for b in reversed(chunk[at - 1].encode("utf-8", "surrogatepass")))
-            at -= length
-        return ids[::-1]
+        return ids + path(n)
 
     def _chunk(self, chunk: str) -> bytes:
         found = b"".join(i.to_bytes(4, "little") for i in self.viterbi(chunk))
@@ -109,15 +134,16 @@ class Pieces:
             else:
                 part = MARK + part
             memo = self.memo
-            for chunk in CHUNK.findall(part) if self.chunked else [part] if part else []:
+            for chunk in (m[0] for m in CHUNK.finditer(part)) if self.chunked else [part] if part else []:
                 found = memo.get(chunk)
                 out.append(self._chunk(chunk) if found is None else found)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        text = b"".join([table.get(i, b"") for i in memoryview(ids).cast("I")]) if ids else b""
-        return text[1:].decode("utf-8", "surrogatepass") if text[:1] == b" " else text.decode("utf-8", "replace")
+        """The text of the ids, without the blank that encoding puts first; U+FFFD for unknown ids and for what is no UTF-8."""
+        table, unknown = self.bytes_of, "\ufffd".encode()
+        text = b"".join([table.get(i, unknown) for i in memoryview(ids).cast("I")]) if ids else b""
+        return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
 _kept: dict[str, Pieces] = {}

@@ -212,10 +212,16 @@ def test_pieces_round_trip_and_best_score(spark, odd, empty):
     toy = pieces.Pieces.of(small, {b: 100 + b for b in range(256)})
     scores = {p: s for _, p, s in small}
     name = {i: p for i, p, _ in small}
-    for text in map("".join, itertools.product("ab", repeat=6)):
+    for k, text in enumerate(map("".join, itertools.product("abx", repeat=6))):
+        toy.window = (1 << 16, 1, 3)[k % 3]
         got = toy.viterbi(text)
+        if "x" in text:  # no piece: its byte stands for it
+            parts = text.split("x")
+            assert got == [i for j, x in enumerate(parts) for i in ([100 + ord("x")] if j else []) + toy.viterbi(x)]
+            continue
         best = max(sum(scores[c] for c in cut) for cut in all_cuts(text, scores))
         assert abs(sum(scores[name[i]] for i in got) - best) < 1e-9 and "".join(name[i] for i in got) == text
+    assert model.decode(b"\xff\xff\xff\x7f") == "\ufffd" and model.decode(toy.byte_ids[0xFF].to_bytes(4, "little")) is not None
     for text in ("", " ", "a b", "  x▁y\n", "日本 語"):
         assert model.decode(model.encode(text)) == text
 
