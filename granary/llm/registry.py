@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import topk
+from granary.llm import importance, repair, topk
 from granary.llm.ann import op7_ann
+from granary.llm.bestfit import op13_best_fit
 from granary.llm.langid import op2_language
 from granary.llm.lines import op10_line_dedup
 from granary.llm.minhash import op4_minhash
@@ -28,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_repair": repair.op12_repair,
+    "op13_best_fit": op13_best_fit,
 }
 
-SQL: dict[str, str] = {"op6_top_k": topk.SQL}
+SQL: dict[str, str] = {"op6_top_k": topk.SQL, "op11_importance": importance.SQL, "op12_repair": repair.SQL}

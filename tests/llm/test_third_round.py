@@ -1,0 +1,293 @@
+"""Importance resampling, conversation repair and best-fit packing against plain versions of themselves."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from granary.llm import bestfit, importance, repair
+from tests.test_oracle import TABLES, rows_of
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return c
+
+
+# importance resampling
+
+
+def runs(text, n):
+    words = WORD.findall((text or "").translate(UPPER))
+    return words, [" ".join(words[a:b]) for b in range(1, len(words) + 1) for a in range(max(0, b - n), b)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_ring_gives_the_crc_of_every_run(n):
+    text = "A ba1 é, ÉCOLE\x00x\x7fy  Zz\nB ba1 \xa0 日本 k"
+    ring, states, words = [], [], 0
+    for segment in importance.words_of(text.encode(), 3):
+        words += len(segment)
+        states += importance.run_states(segment, n, ring)
+    plain, features = runs(text, n)
+    assert words == len(plain)
+    assert sorted(states) == sorted(zlib.crc32(f.encode()) for f in features)
+
+
+def plain_resample(rows, target, n, buckets, least, percent):
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s = Counter(bucket(f) for _, text in rows for f in runs(text, n)[1])
+    t = Counter(bucket(f) for text in target for f in runs(text, n)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets))))
+    found = []
+    for doc, text in rows:
+        words, features = runs(text, n)
+        weight = sum(gain(bucket(f)) for f in features)
+        h = int(hashlib.sha256(f"2024:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        found.append([doc, len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words)])
+    able = sorted((r for r in found if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0], r[1]))
+    rank = {id(r): k + 1 for k, r in enumerate(able[: percent * len(able) // 100])}
+    return [(*r[:4], rank.get(id(r))) for r in found]
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_resampling_equals_a_plain_version(spark, odd, n):
+    target = spark.createDataFrame([(1, "Hello fox"), (2, None), (3, "und die der")], "item_id long, text string")
+    found = importance.resample(odd, target, n=n, buckets=50, min_words=2, percent=60)
+    assert found.columns == ["doc_id", "n_features", "weight", "score", "rank"]
+    want = plain_resample([(r["doc_id"], r["text"]) for r in odd.collect()], ["Hello fox", None, "und die der"], n, 50, 2, 60)
+    assert rows_of(found.columns, found.collect()) == rows_of(found.columns, want)
+    assert sum(r[4] is not None for r in want) == 4  # of eight with two words
+
+
+def test_resampling_of_nothing(spark, odd, empty):
+    assert importance.resample(empty, odd).count() == 0
+    assert importance.resample(odd, empty).count() == odd.count()
+
+
+def test_repeated_ids_have_ranks_of_their_own(spark):
+    docs = spark.createDataFrame([(7, "a b c")] * 40 + [(8, "a b c")], "doc_id long, text string").repartition(4)
+    ranks = [r["rank"] for r in importance.resample(docs, docs, min_words=1, percent=50).collect() if r["rank"]]
+    assert sorted(ranks) == list(range(1, 21))
+
+
+@pytest.mark.parametrize("name, module", [("op11_importance", importance), ("op12_repair", repair)])
+def test_rows_equal_sql(spark, duck, sf, name, module):
+    df, sql = getattr(module, name)(spark, sf), duck.sql(module.SQL)
+    assert sorted(df.columns) == sorted(sql.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(sql.columns, sql.fetchall())
+
+
+# conversation repair
+
+
+def plain_report(turns):
+    """Faults, cheapest edits and digest of one conversation's (turn, role, text), by trying every reading turn by turn."""
+    clean = [(t, " " if r is None else r, " " if x is None else x) for t, r, x in turns]
+    clean.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
+    seen, faults, illegal = set(), [], 0
+    for k, (_, role, text) in enumerate(clean):
+        words = text.strip(" \t\n\x0b\f\r")
+        faults.append("blank" if not words else "duplicate" if (role, text) in seen else "truncated" if words[-1] not in ".!?" else "")
+        seen.add((role, text))
+        illegal += k > 0 and clean[k - 1][1][:1] + role[:1] not in ("su", "ua", "au")
+    best = {"": (0, "", ())}  # by what was said so far, as far as the grammar can tell: the last initial
+
+    def insert(best):
+        found = dict(best)
+        for _ in range(2):
+            for last, (cost, audit, said) in list(found.items()):
+                c = "a" if last == "u" else "u"
+                new = (cost + 5, audit + "I", (*said, ("assistant:" if c == "a" else "user:")))
+                found[c] = min(found.get(c, new), new)
+        return found
+
+    for (_, role, text), fault in zip(clean, faults, strict=True):
+        after = {}
+        for last, (cost, audit, said) in insert(best).items():
+            ways = [(last, 2, "D", said)]
+            if fault not in ("blank", "duplicate"):
+                more = 5 if fault == "truncated" else 0
+                c = "a" if last == "u" else "u"
+                ways.append((c, 1 + more, "R", (*said, ("assistant:" if c == "a" else "user:") + text)))
+                if role[:1] == c or (role[:1] == "s" and last == ""):
+                    ways.append((role[:1], more, "K", (*said, f"{role}:{text}")))
+            for to, extra, letter, lines in ways:
+                new = (cost + extra, audit + letter, lines)
+                after[to] = min(after.get(to, new), new)
+        best = after
+    cost, audit, said = min(v for k, v in insert(best).items() if k in ("", "a"))
+    numbers = [t for t, _, _ in clean if t is not None]
+    gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest())
+
+
+def conversations(seed, sizes):
+    rng = random.Random(seed)
+    for conv, n in enumerate(sizes):
+        for k in range(n):
+            yield conv, rng.choice([None, k, k, k, k + 3]), rng.choice(["user", "assistant", "user", "assistant", "system", None, "tool", ""]), rng.choice(["Hi.", "Yes? \n", "no", "", " \t", None, f"{k}!", "ö。", "why?"])
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+COLUMNS = ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def check_repair(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r["conv_id"]: tuple(r[c] for c in COLUMNS[1:]) for r in repair.repair_report(df, df).collect()}
+    by = defaultdict(list)
+    for conv, *turn in rows:
+        by[conv].append(turn)
+    assert got == {conv: plain_report(turns) for conv, turns in by.items()}
+
+
+def test_repair_of_many_short_and_some_long_conversations(spark):
+    """The long ones cross segments and batches."""
+    sizes = [random.Random(5).randint(1, 7) for _ in range(300)] + [700, 1, 255, 9000, 2]
+    check_repair(spark, list(conversations(11, sizes)))
+
+
+def test_repair_needs_insertions(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"{k}.") for k in range(1, 40) if k != 20] + [(None, 0, "system", "Be brief."), (None, None, "user", "Hi.")]
+    check_repair(spark, rows)
+
+
+def test_repaired_turns_are_sound(spark):
+    df = spark.createDataFrame(list(conversations(3, [6] * 60)), SCHEMA)
+    edits = repair.report(df)
+    by = defaultdict(dict)
+    for r in repair.repaired(df, edits).collect():
+        by[r["conv_id"]][r["place"]] = r["role"][0]
+    assert all(re.fullmatch("(s?(ua)+)?", "".join(turns[k] for k in sorted(turns))) for turns in by.values())
+    assert {r["conv_id"] for r in edits.collect()} == set(range(60))
+
+
+def test_repair_takes_originals_without_turns_and_none_at_all(spark):
+    df = spark.createDataFrame([(1, 0, "user", "Hi.")], SCHEMA)
+    row = repair.repair_report(df, df.limit(0)).collect()
+    assert [tuple(r) for r in row] == [(1, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+    assert repair.repair_report(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_damage_by_the_crc_of_the_key(spark):
+    rows = [(c, t, "assistant", "One. Two!") for c in (1, 2, None) for t in (*range(40), None)]
+    got = Counter(tuple(r) for r in repair.damage(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = Counter()
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        if kind:
+            want[(c, t, "user" if kind == 4 else role, {1: "", 2: "One Two"}.get(kind, text))] += 2 if kind == 3 else 1
+    assert got == want
+
+
+# best-fit packing
+
+
+@pytest.fixture(scope="module")
+def words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def check_packing(rows, docs, tokenizer, capacity, ids=None):
+    """Every id lies in exactly one piece, only long documents are cut, and sequences have no gaps."""
+    whole, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        whole[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    want = Counter()
+    for doc, text in docs:
+        found = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(found), capacity)):
+            part = np.array(found[at : at + capacity], "<u4").tobytes()
+            want[(doc, k, at, len(part) // 4, zlib.crc32(part))] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(sequences)
+
+
+@pytest.mark.parametrize("capacity", [8, 64, 2048])
+def test_packing_of_odd_rows(spark, odd, words, capacity):
+    from pyspark.sql import functions as F
+
+    pieces = bestfit.pieces_of(odd, json_file=words[0], max_tokens=capacity).withColumn("ids_crc32", F.crc32("ids"))
+    rows = bestfit.place(pieces, capacity=capacity).collect()
+    check_packing(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], words[1], capacity)
+
+
+def test_packing_of_documents_reaches_the_least_number(spark, sf, words):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = bestfit.op13_best_fit(spark, sf).collect()
+    used = check_packing(rows, docs, words[1], 2048)
+    assert used <= -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+def test_packing_of_nothing(spark, empty, words):
+    assert bestfit.place(bestfit.pieces_of(empty, json_file=words[0])).count() == 0
+
+
+def test_odd_strings_have_the_tokenizers_ids(words):
+    memo = bestfit.Memo(words[0], 10)
+    parts = ["é", "̸", "İ", "ΣΑΣ", "\x1c", "\x85", " ", " ", "\n\t", "don't", "<|endoftext|>", "<|", "日本", "각", "a1b2", "!!!", "\u0000", "ﬁ", "🙂", "x" * 70]
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 8)))
+        got = b"".join(memo[m.group()] for m in bestfit.CHUNK.finditer(text))
+        assert np.frombuffer(got, "<u4").tolist() == words[1].encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_uses_every_piece_once_and_little_room(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(5, 300))
+    lengths = np.minimum(capacity, 1 + rng.geometric(float(rng.uniform(0.01, 0.5)), int(rng.integers(1, 3000))))
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    used, sequences = np.zeros_like(counts), 0
+    for uses, copies in bestfit.plan(counts):
+        assert sum(n * k for n, k in uses.items()) <= capacity
+        sequences += copies
+        for n, k in uses.items():
+            used[n] += k * copies
+    assert (used == counts).all()
+    free = np.sort(lengths)[::-1]
+    rooms = []  # first-fit decreasing, for comparison
+    for n in free:
+        at = next((k for k, room in enumerate(rooms) if room >= n), None)
+        if at is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[at] -= n
+    assert -(-int(lengths.sum()) // capacity) <= sequences <= len(rooms) + 1
+
+
+def test_exact_fill_counts_what_is_left():
+    left = np.zeros(11, np.int64)
+    left[[2, 3]] = [1, 2]
+    index = bestfit.SumIndex(left)
+    assert bestfit.exact_fill(left, index, 6) == (3, 3)
+    assert bestfit.exact_fill(left, index, 8) == (3, 3, 2)
+    assert bestfit.exact_fill(left, index, 4) is None  # there is one piece of 2
+    assert bestfit.exact_fill(left, index, 9) is None  # and two of 3
+    assert left.tolist() == [0, 0, 1, 2, 0, 0, 0, 0, 0, 0, 0]
