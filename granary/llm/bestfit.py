@@ -19,6 +19,7 @@ common length are spread over many tasks by their place in the table.
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,22 +36,57 @@ CHUNK = re.compile(r"[^\t-\r ]+")
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+#: Ends a word without ever joining it: no letter, no digit, and nothing that composes with what stands before.
+TAIL = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+#: The model spells a byte as one printable character: itself where it has one, else the next from U+0100 on.
+_SEEN = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 class Memo(dict):
-    """The ids of recent chunks as little-endian unsigned 32-bit integers; at most ``most`` chunks of up to 64 characters."""
+    """The ids of recent chunks as little-endian unsigned 32-bit integers.
+
+    Two generations of at most ``most`` chunks of up to 64 characters: when
+    the young one is full it becomes the old one, whose chunks come back when
+    they occur again. A Latin word is a single piece for the tokenizer's
+    model, which is asked directly; a word and the marks behind it are looked
+    up apart; everything else goes through the whole tokenizer.
+    """
 
-    def __init__(self, json_file: str, most: int = 150_000) -> None:
+    def __init__(self, json_file: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(json_file), most
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(json_file), most, {}
+        self.pieces = self.tokenizer.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
-        found = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encoded(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
+    def encoded(self, chunk: str) -> bytes:
+        low = chunk.lower()
+        if low.isalpha():
+            if low.isascii():
+                return packed([p.id for p in self.pieces(low)])
+            if max(chunk) < "\u0250":
+                return packed([p.id for p in self.pieces(low.encode().decode("latin-1").translate(SPELLING))])
+        elif "<|" not in chunk:  # such may be an added token
+            word = chunk.rstrip(TAIL)
+            if word and len(word) < len(chunk) and word[-1].isalnum():
+                return self[word] + self[chunk[len(word) :]]
+        return packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
 _kept: dict[str, Memo] = {}
 
@@ -72,7 +108,7 @@ def pieces_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = b"".join([get(m.group()) for m in CHUNK.finditer(text.as_py() or "")]) + end
+                ids = b"".join(map(get, CHUNK.findall(text.as_py() or ""))) + end
                 rows += [(doc, k, k * max_tokens, len(part) // 4, part) for k, part in enumerate(ids[at : at + width] for at in range(0, len(ids), width))]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
