@@ -38,6 +38,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 #: Ends a word without ever joining it: no letter, no digit, and nothing that composes with what stands before.
 TAIL = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+#: Below this, letters have one form in NFC; only lower-casing can add a mark.
+PLAIN = "\u0250"
 #: The model spells a byte as one printable character: itself where it has one, else the next from U+0100 on.
 _SEEN = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
 SPELLING = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
@@ -75,11 +77,11 @@ class Memo(dict):
         if low.isalpha():
             if low.isascii():
                 return packed([p.id for p in self.pieces(low)])
-            if max(chunk) < "\u0250":
+            if max(chunk) < PLAIN:
                 return packed([p.id for p in self.pieces(low.encode().decode("latin-1").translate(SPELLING))])
         elif "<|" not in chunk:  # such may be an added token
             word = chunk.rstrip(TAIL)
-            if word and len(word) < len(chunk) and word[-1].isalnum():
+            if word and len(word) < len(chunk) and word[-1] < PLAIN and word[-1].lower().isalnum():
                 return self[word] + self[chunk[len(word) :]]
         return packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
