@@ -51,27 +51,6 @@ def r05_cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@query("WITH l AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS turns, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, any_value(turns) AS turns, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS held FROM l WHERE n <= 4 GROUP BY conv_id")
-def r06_session_append(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
-    last = tables.last_rows(c, "conv_id", "turn", 4).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", "text").alias("m")))).alias("h"))
-    turns = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
-    return turns.join(last, "conv_id").select("conv_id", "turns", F.md5(F.array_join(F.transform("h", lambda x: x["m"]), "|").cast("binary")).alias("held"))
-
-
-@query(
-    """WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'A0000001' ELSE 'A' || conv_id END AS agent, md5(text) AS question, md5(answer) AS answer FROM p WHERE (conv_id * 37) % 1000 <= 600 AND role = 'user' AND next_role = 'assistant' AND text <> '' AND answer <> ''"""
-)
-def r08_migrated_turns(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    near = (F.col("conv_id") * 37) % 1000 <= 600  # seconds that the session has left
-    turns = table(spark, d, "conversations").filter(near).withColumns({"next_role": F.lead("role").over(w), "answer": F.lead("text").over(w)})
-    said = turns.filter((F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.col("text") != "") & (F.col("answer") != ""))
-    agent = F.coalesce(F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("A"), "conv_id")), F.lit("A0000001"))
-    return said.select("conv_id", "turn", agent.alias("agent"), F.md5(F.col("text").cast("binary")).alias("question"), F.md5(F.col("answer").cast("binary")).alias("answer"))
-
-
 SINCE_CTE = """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 > 0 THEN TIMESTAMP '1995-06-01' + INTERVAL (c_custkey % 300) DAY END AS seen FROM customer),
 n AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders JOIN c ON o_custkey = c_custkey WHERE o_orderdate > seen AND o_orderdate <= TIMESTAMP '1997-01-01')"""
 

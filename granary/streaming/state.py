@@ -94,19 +94,6 @@ def first_seen(events: DataFrame, key: list[str], at: str, *, within: str = "1 d
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark(key)
 
 
-def trimmed_sessions(turns: DataFrame, messages: int = 20) -> DataFrame:
-    """session, n_turns, messages: the last messages of a session, kept as state across batches (session, seq, text)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        n, held = state.get if state.exists else (0, [])
-        n, held = n + len(rows), [*held, *rows["text"]][-messages:]
-        state.update((n, held))
-        yield pd.DataFrame({"session": [key[0]], "n_turns": [n], "messages": [held]})
-
-    return turns.groupBy("session").applyInPandasWithState(step, "session long, n_turns long, messages array<string>", "n long, held array<string>", "update", GroupStateTimeout.NoTimeout)
-
-
 def append_new(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> Any:
     """A query that appends rows whose key the target does not hold yet, and stops when the input is read."""
 
