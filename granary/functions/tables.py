@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from html.parser import HTMLParser
+from itertools import accumulate, takewhile
 from typing import Any
 
 import pandas as pd
@@ -66,17 +67,15 @@ def _heading(column: tuple[str, ...]) -> str:
     return f"{names[0]}({', '.join(names[1:])})" if len(names) > 1 else "".join(names)
 
 
-def _with_categories(grid: list[list[str]]) -> list[list[str]]:
-    """Leading gaps take the value above; what follows the values shared with the row above is written under the last of them."""
-    for above, row in zip(grid, grid[1:], strict=False):
-        for x, value in enumerate(row):
-            if value:
-                break
-            row[x] = above[x]
-        same = next((x for x, (a, b) in enumerate(zip(above, row, strict=True)) if a != b or not b), len(row))
-        if 0 < same < len(row) and row[same] and row[same] != row[same - 1]:
-            row[same] = f"{row[same - 1]}({row[same]})"
-    return grid
+def _filled(above: list[str], row: list[str]) -> list[str]:
+    """``row`` with its leading gaps taken from ``above``; the first value that differs names the one before it, which both rows share."""
+    gaps = len(list(takewhile(lambda v: not v, row)))
+    row = above[:gaps] + row[gaps:]
+    shared = len(list(takewhile(lambda pair: pair[0] == pair[1] != "", zip(above, row, strict=True))))
+    if not 0 < shared < len(row):
+        return row
+    parent, child = row[shared - 1 : shared + 1]
+    return row if not child or child == parent else [*row[:shared], f"{parent}({child})", *row[shared + 1 :]]
 
 
 def table_to_markdown(raw: str) -> str:
@@ -88,7 +87,7 @@ def table_to_markdown(raw: str) -> str:
     names = [_heading(column) for column in zip(*_grid(head), strict=True)]
     if not names:
         return raw
-    rows = [(r + [""] * len(names))[: len(names)] for r in _with_categories(_grid(body))]
+    rows = [(r + [""] * len(names))[: len(names)] for r in accumulate(_grid(body), _filled)]
     return "\n".join("| " + " | ".join(r) + " |" for r in [names, ["---"] * len(names), *rows])
 
 

@@ -101,6 +101,13 @@ def words(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bracketed(*parts: Column, most: int = 50) -> Column:
+    """``[first > second]`` of the parts that are not blank, each cut at ``most`` characters with an ellipsis; empty without any."""
+    short = [F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c) for c in parts]
+    said = F.filter(F.array(*short), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(F.size(said) > 0, F.concat(F.lit("["), F.array_join(said, " > "), F.lit("]"))).otherwise("")
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
