@@ -60,10 +60,13 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, _, b, _ in found)
-    for m in BARE.finditer(text):
+    base, at, covered = sorted((a, b) for a, _, b, _ in found), 0, 0
+    for m in BARE.finditer(text):  # both lists ascend, so one sweep knows how far the spans that begin before this token's end reach
+        while at < len(base) and base[at][0] < m.end():
+            covered = max(covered, base[at][1])
+            at += 1
         value = m[0]
-        if any(c.isupper() for c in value) and any(c.islower() for c in value) and not any(a < m.end() and m.start() < b for a, b in base):
+        if covered <= m.start() and any(c.isupper() for c in value) and any(c.islower() for c in value):
             found.append((m.start(), 3, m.end(), value))
     return sorted(found)
 
