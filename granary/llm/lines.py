@@ -1,7 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two lines within edit distance t differ in at most t of the t + 1 segments of
-the shorter, so one segment of it occurs unchanged in the longer. Every line
+How many edits two lines may differ in depends on the length of the shorter:
+one for each ten characters, two at most, so lines under ten characters go by
+equality alone. Two lines within edit distance t differ in at most t of the
+t + 1 segments of the shorter, so one segment of it occurs unchanged in the
+longer. Every line
 indexes its own segments under (its length, segment number, segment text) and
 probes, for each length from its own down to t less, those substrings whose
 position a segment can still have (the multi-match-aware windows). Lines that
@@ -39,18 +42,23 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 @dataclass(frozen=True)
 class Params:
-    """``distance`` edits at most; stripped lines under ``least_chars`` characters are never compared.
+    """One edit for each ``per_edit`` characters of the shorter of two stripped lines, ``distance`` at most.
 
     ``cell`` bounds the characters (with 256 more a line) of the part of a key's lines that one task compares with another part.
     """
 
     distance: int = 2
-    least_chars: int = 20
+    per_edit: int = 10
     cell: int = 1 << 21
 
 
-def all_keys(lines: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, position in ``lines`` and own segment or not, for all lines at once; a line may give a key twice.
+def allowed(chars: np.ndarray, t: int, per_edit: int) -> np.ndarray:
+    """The edits that a line of so many characters may differ in from a longer one."""
+    return np.minimum(np.maximum(chars, 0) // per_edit, t)
+
+
+def all_keys(lines: list[str], t: int, per_edit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, position in ``lines`` and own segment or not, for all lines at once; a line may give a key twice, and a short one none.
 
     Substring hashes are differences of running sums of mixed characters times
     the powers of an odd base, divided by the power at the substring's start.
@@ -63,15 +71,15 @@ def all_keys(lines: list[str], t: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(char * powers(BASE)[:-1])))
     back = powers(INVERSE)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))]
-    for delta in range(t + 1):
-        rows = np.flatnonzero(size - delta >= t)
+    for d, delta in ((d, delta) for d in range(1, t + 1) for delta in range(d + 1)):
+        rows = np.flatnonzero(allowed(size - delta, t, per_edit) == d)
         length = size[rows] - delta
-        short, more = np.divmod(length, t + 1)
-        for i in range(t + 1):
-            n = short + (i >= t + 1 - more)
-            start = short * i + np.maximum(i - (t + 1 - more), 0)
-            low = np.maximum(np.maximum(start - i, start + delta - (t - i)), 0)
-            high = np.minimum(np.minimum(start + i, start + delta + (t - i)), size[rows] - n)
+        short, more = np.divmod(length, d + 1)
+        for i in range(d + 1):
+            n = short + (i >= d + 1 - more)
+            start = short * i + np.maximum(i - (d + 1 - more), 0)
+            low = np.maximum(np.maximum(start - i, start + delta - (d - i)), 0)
+            high = np.minimum(np.minimum(start + i, start + delta + (d - i)), size[rows] - n)
             for shift in range(int((high - low).max(initial=-1)) + 1):
                 some = np.flatnonzero(low + shift <= high)
                 at = begins[rows[some]] + low[some] + shift
@@ -142,6 +150,16 @@ def within(left: list[str], right: list[str], t: int) -> np.ndarray:
     return result
 
 
+def near(left: list[str], right: list[str], p: Params) -> np.ndarray:
+    """Which pairs of lines are within the edits that the shorter of each allows."""
+    edits = allowed(np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64), p.distance, p.per_edit)
+    result = np.zeros(len(left), dtype=bool)
+    for t in np.unique(edits).tolist():
+        some = np.flatnonzero(edits == t)
+        result[some] = within([left[k] for k in some], [right[k] for k in some], t)
+    return result
+
+
 def _one(pattern: str, text: str, t: int) -> bool:
     """As ``_band`` for a single pair, the pattern's matches looked up by character."""
     m, n, width = len(pattern), len(text), 2 * t + 1
@@ -210,8 +228,8 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def occurrences(base: DataFrame, p: Params) -> DataFrame:
-    """__row, __id, line_no and line (hash) of every line long enough."""
+def occurrences(base: DataFrame) -> DataFrame:
+    """__row, __id, line_no and line (hash) of every line with a visible character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,7 +237,7 @@ def occurrences(base: DataFrame, p: Params) -> DataFrame:
             for r, i, text in zip(b.column("__row").to_pylist(), b.column("__id").to_pylist(), texts_of(b, "__text"), strict=True):
                 for k, x in enumerate(text.split("\n")):
                     x = x.strip()
-                    if len(x) >= p.least_chars:
+                    if x:
                         row.append(r)
                         ids.append(i)
                         no.append(k)
@@ -241,9 +259,9 @@ def key_rows(base: DataFrame, p: Params, only: Bloom | None = None) -> DataFrame
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 lines = {x.strip() for text in texts_of(whole.slice(i, 500), "__text") for x in text.split("\n")}
-                for part in by_chars([x for x in lines if len(x) >= p.least_chars]):
+                for part in by_chars([x for x in lines if len(x) >= p.per_edit]):
                     line = np.array([line_hash(x) for x in part], dtype=np.int64)
-                    key, at, own = all_keys(part, p.distance)
+                    key, at, own = all_keys(part, p.distance, p.per_edit)
                     if only is None:
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line[at]), pa.array(own)], names=["key", "line", "own"])
                         continue
@@ -266,17 +284,17 @@ def key_rows(base: DataFrame, p: Params, only: Bloom | None = None) -> DataFrame
 class _Cell:
     """The lines of a cell: pruned by counts of characters, verified by edit distance."""
 
-    def __init__(self, held: pa.Table, t: int) -> None:
-        self.t, self.own, self.text = t, held.column("own").to_numpy(), held.column("text").to_pylist()
+    def __init__(self, held: pa.Table, p: Params) -> None:
+        self.p, self.own, self.text = p, held.column("own").to_numpy(), held.column("text").to_pylist()
         self.counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 31, minlength=32) for x in self.text]).astype(np.int32)
 
     def likely(self, i: int, others: np.ndarray) -> np.ndarray:
         """An edit changes two counts by one at most."""
         others = others[self.own[i] | self.own[others]]
-        return others[np.abs(self.counts[others] - self.counts[i]).sum(axis=1) <= 2 * self.t]
+        return others[np.abs(self.counts[others] - self.counts[i]).sum(axis=1) <= 2 * self.p.distance]
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return within([self.text[i] for i in a], [self.text[j] for j in b], self.t)
+        return near([self.text[i] for i in a], [self.text[j] for j in b], self.p)
 
 
 def links(base: DataFrame, p: Params) -> DataFrame:
@@ -295,24 +313,24 @@ def links(base: DataFrame, p: Params) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield b.select(["u", "v"]).filter(pa.array(within(b.column("tu").to_pylist(), b.column("tv").to_pylist(), p.distance)))
+                yield b.select(["u", "v"]).filter(pa.array(near(b.column("tu").to_pylist(), b.column("tv").to_pylist(), p)))
 
     roots = components(materialise(both.select("u", "v", "tu", "tv").mapInArrow(verify, "u long, v long"), "line_links"))
     rooted = members.join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", "own", "weight", F.coalesce("root", "node").alias("root"))
     met = materialise(cells(materialise(rooted, "rooted"), p.cell), "cells")
     if met.isEmpty():
         return roots
-    more = materialise(links_across(met, texts, lambda held: _Cell(held, p.distance)), "line_links")
+    more = materialise(links_across(met, texts, lambda held: _Cell(held, p)), "line_links")
     return components(more.unionByName(roots.select("u", F.col("root").alias("v"))))
 
 
 def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with repeated lines taken out of their texts, and ``removed_lines``, the numbers of those.
 
-    The first occurrence of each group of lines within ``distance`` of each
-    other (directly or over others) stays: that of the smallest id, null last,
+    The first occurrence of each group of lines near each other (directly or
+    over others; short lines only if equal) stays: that of the smallest id, null last,
     then of the first row and line. Repeated rows lose their lines like any
-    other copies. Null and empty texts, and lines that are too short, come
+    other copies. Null and empty texts, and lines without a visible character, come
     back as they were; a column named removed_lines is replaced.
     """
     p = params or Params()
@@ -327,7 +345,7 @@ def dedup_lines(docs: DataFrame, params: Params | None = None, *, id_col: str =
             row += b.num_rows
 
     base = materialise(source.mapInArrow(number, schema_with(source, "__row long")), "lines")
-    seen = materialise(occurrences(base, p), "occurrences")
+    seen = materialise(occurrences(base), "occurrences")
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"), F.col("line_no").alias("no"))
     each = seen.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     linked = links(base, p)

@@ -417,7 +417,7 @@ def test_line_dedup(spark, odd, empty):
     rows = [(2, f"{a}\n{c}"), (1, f"{b}\nshort"), (3, f"{c}\n{a}x\nshort"), (4, None)]
     found = {r.doc_id: (r.text, r.removed_lines) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert edit(a, b) > 2 and edit(a + "x", a) == 1
-    assert found == {1: (f"{b}\nshort", []), 2: (f"{a}\n{c}", []), 3: ("short", [0, 1]), 4: (None, [])}
+    assert found == {1: (f"{b}\nshort", []), 2: (f"{a}\n{c}", []), 3: ("", [0, 1, 2]), 4: (None, [])}
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "removed_lines"] and got.count() == odd.count()
     assert lines.dedup_lines(empty).count() == 0
@@ -425,7 +425,7 @@ def test_line_dedup(spark, odd, empty):
 
 def brute_lines(rows, p):
     """Which line numbers go, by comparing all pairs of lines."""
-    seen = sorted(((i is None, i or 0, r, k), x.strip()) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if len(x.strip()) >= p.least_chars)
+    seen = sorted(((i is None, i or 0, r, k), x.strip()) for r, (i, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.strip())
     root = list(range(len(seen)))
 
     def find(x):
@@ -434,7 +434,9 @@ def brute_lines(rows, p):
         return x
 
     for a, b in itertools.combinations(range(len(seen)), 2):
-        if abs(len(seen[a][1]) - len(seen[b][1])) <= p.distance and edit(seen[a][1], seen[b][1]) <= p.distance:
+        x, y = seen[a][1], seen[b][1]
+        most = min(p.distance, min(len(x), len(y)) // p.per_edit)
+        if x == y or (abs(len(x) - len(y)) <= most and edit(x, y) <= most):
             root[max(find(a), find(b))] = min(find(a), find(b))
     gone = defaultdict(list)
     for k, ((_, _, r, no), _) in enumerate(seen):
@@ -462,6 +464,22 @@ def test_line_dedup_over_a_table_against_all_pairs(spark, cell):
         assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
 
 
+@pytest.mark.parametrize("cell", [1 << 21, 3000])
+def test_short_lines_against_all_pairs(spark, cell):
+    """Lines of 0 to 24 characters: equal ones, and those whose length allows an edit or two."""
+    rng = np.random.default_rng(12)
+    stock = ["".join(rng.choice(list("ab "), int(n))) for n in range(25) for _ in range(3)]
+    for x in list(stock):
+        y = list(x)
+        for k in rng.integers(0, max(1, len(y)), int(rng.integers(0, 3))):
+            y[k : k + int(rng.integers(0, 2))] = rng.choice(list("ab"), int(rng.integers(0, 2)))
+        stock.append("".join(y))
+    rows = [(i, "\n".join(rng.choice(stock, 6))) for i in range(40)]
+    p = lines.Params(cell=cell)
+    got = {r.doc_id: r.removed_lines for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), p).collect()}
+    assert got == {i: out for (i, _), out in brute_lines(rows, p).items()}
+
+
 def test_near_copies_and_chains_in_split_cells(spark):
     rng = np.random.default_rng(3)
     words, rows = [f"w{k}" for k in range(60)], []
