@@ -152,6 +152,8 @@ def within(left: list[str], right: list[str], t: int) -> np.ndarray:
 
 def near(left: list[str], right: list[str], p: Params) -> np.ndarray:
     """Which pairs of lines are within the edits that the shorter of each allows."""
+    if min((len(x) for x in (*left, *right)), default=0) >= p.distance * p.per_edit:
+        return within(left, right, p.distance)
     edits = allowed(np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64), p.distance, p.per_edit)
     result = np.zeros(len(left), dtype=bool)
     for t in np.unique(edits).tolist():
