@@ -5,31 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, materialise
+from granary.llm.common import discard, join_spread, materialise
 
+#: Edges from which on a node may have so many that one task should not join them all; 16 bytes each.
+WIDE = 1 << 20
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, wide: bool) -> DataFrame:
+    """``edges`` with m of their u; the edges of a hub are dealt to many tasks."""
+    return join_spread(edges, least, "u", "n") if wide else edges.join(least, "u")
+
+
+def _folded(edges: DataFrame, wide: bool, used: list[DataFrame]) -> DataFrame:
+    """u, the least v as m, and the number of edges as n; written first where a salted join reads it several times."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if wide:
+        used.append(least := materialise(least, "least"))
+    return least
+
+
+def _large_star(edges: DataFrame, wide: bool, used: list[DataFrame]) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _folded(both, wide, used).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.filter(F.col("v") > F.col("u")), least, wide).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, wide: bool, used: list[DataFrame]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    rest = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if wide:
+        used.append(down := materialise(down, "down"))
+    least = _folded(down, wide, used)
+    rest = _with_least(down, least, wide).filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node that has an edge to a smaller root; columns u and v are longs.
 
     A node absent from the result is its own root. Minima are folded before
-    each shuffle, so the hub of a large group costs no more than its edges.
+    each shuffle. A table of under ``WIDE`` edges holds no hub worth splitting;
+    in a larger one the edges of a hub are salted before they are joined.
+    Rounds go on until the edges are stars.
     """
     now, before = edges.select("u", "v").filter(F.col("u") != F.col("v")), None
-    for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)), "stars")
+    while True:
+        wide, used = now.count() >= WIDE, []
+        now = materialise(_small_star(_large_star(now, wide, used), wide, used), "stars")
+        discard(edges.sparkSession, *used)
         if before is not None:
             discard(edges.sparkSession, before)
         before = now
@@ -38,4 +60,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         more = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).unionByName(roots.withColumn("n", F.lit(1).cast("long")))
         if more.groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").isEmpty():
             return now.select("u", F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm.blocks import Bloom, cells, links_across
-from granary.llm.common import binary_rows, join_spread, masked, materialise, mix64, read_table, released, texts_of
+from granary.llm.common import binary_rows, discard, join_spread, masked, materialise, mix64, read_table, released, texts_of
 from granary.llm.components import components
 
 
@@ -46,6 +46,7 @@ class Plan:
     """Shingle width, threshold in percent, bands, rows a band; signature positions compared, by batch; miss probability.
 
     ``cell`` bounds the shingles (with 256 more a member) of the part of a bucket that one task compares with another part.
+    A bucket's smallest node and its members are verified in parts of about ``star`` members, at most ``most_parts`` of them.
     """
 
     words: int = 5
@@ -55,6 +56,8 @@ class Plan:
     batch: int = 33
     compared: int = 264
     cell: int = 1 << 21
+    star: int = 1024
+    most_parts: int = 4096
     miss: float = 1e-6
     seed: int = 7
 
@@ -155,12 +158,17 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (u, v) whose signatures leave the threshold likely enough."""
+    """The pairs (u, v) whose signatures leave the threshold likely enough, with ``part``: the share of u's star that v belongs to."""
+    spark = pairs.sparkSession
+    sizes = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    hubs = materialise(sizes.join(nodes.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su")), "u"), "hubs")
+    parts = F.least(F.ceil(F.col("n") / plan.star), F.lit(plan.most_parts))
     with_sigs = (
-        pairs.join(nodes.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su")), "u")
+        join_spread(pairs, hubs, "u", "n")
+        .withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int"))
         .join(nodes.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"), F.col("sig").alias("sv")), "v")
         .filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * plan.percent)
-        .select("u", "v", "su", "sv")
+        .select("u", "v", "part", "su", "sv")
     )
     bounds = least_matches(plan)
 
@@ -168,9 +176,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 alive = _prune(_signatures(b.column("su")), _signatures(b.column("sv")), plan, bounds)
-                yield b.select(["u", "v"]).take(pa.array(alive))
+                yield b.select(["u", "v", "part"]).take(pa.array(alive))
 
-    return with_sigs.mapInArrow(prune, "u long, v long")
+    likely = materialise(with_sigs.mapInArrow(prune, "u long, v long, part int"), "likely")
+    discard(spark, hubs)
+    return likely
 
 
 class _Cell:
@@ -215,26 +225,37 @@ def _sets(wanted: DataFrame, base: DataFrame, nodes: DataFrame, plan: Plan) -> D
 
 
 def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold; exact."""
-    needed = pairs.select(F.col("u").alias("__row")).union(pairs.select("v")).distinct()
-    texts = materialise(Bloom(needed, "__row").rows(base.select("__row", "__text"), "__row").join(needed, "__row", "left_semi"), "texts")
-    both = pairs.join(texts.select(F.col("__row").alias("u"), F.col("__text").alias("tu")), "u").join(texts.select(F.col("__row").alias("v"), F.col("__text").alias("tv")), "v").select("u", "v", "tu", "tv")
+    """The pairs whose full shingle sets reach the threshold; exact.
+
+    Each part of a star is a run of rows, the hub's text first and then those
+    of its members, so a hub travels and is shingled once a part.
+    """
+    hubs = pairs.select("u", "part").distinct().select("u", "part", F.lit(None).cast("long").alias("v"), F.col("u").alias("__row"))
+    asked = hubs.unionByName(pairs.select("u", "part", "v", F.col("v").alias("__row")))
+    texts = Bloom(asked.select("__row").distinct(), "__row").rows(base.select("__row", "__text"), "__row")
+    runs = asked.join(texts, "__row").drop("__row").repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.empty(0, dtype=np.uint64)
         for whole in batches:
             for i in range(0, whole.num_rows, 200):
                 b, keep = whole.slice(i, 200), []
-                for left, right in zip(texts_of(b, "tu"), texts_of(b, "tv"), strict=True):
-                    x, y = shingles(left, plan.words), shingles(right, plan.words)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * shared >= plan.percent * (len(x) + len(y) - shared))
+                for v, text in zip(b.column("v").to_pylist(), texts_of(b, "__text"), strict=True):
+                    values = shingles(text, plan.words)
+                    if v is None:
+                        hub = values
+                        keep.append(False)
+                        continue
+                    shared = len(np.intersect1d(hub, values, assume_unique=True))
+                    keep.append(100 * shared >= plan.percent * (len(hub) + len(values) - shared))
                 yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(released(verify), "u long, v long")
+    return runs.mapInArrow(released(verify), "u long, v long")
 
 
 def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     """(digest, root) of a ``shingled`` table that has been written: ``root`` names the component."""
+    spark = base.sparkSession
     filled = base.filter(F.col("n_shingles") > 0)
     groups = filled.groupBy("digest").agg(F.min("__row").alias("node"))
     nodes = filled.select(F.col("__row").alias("node"), "n_shingles", "sig").join(groups.select("node"), "node", "left_semi")
@@ -243,20 +264,31 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(plan.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
     banded = nodes.select("node", "n_shingles", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    buckets = materialise(join_spread(banded, materialise(shared, "shared"), "key", "n").select("key", "band", "node", "n_shingles", "least", "n"), "buckets")
+    shared = materialise(shared, "shared")
+    buckets = materialise(join_spread(banded, shared, "key", "n").select("key", "band", "node", "n_shingles", "least", "n"), "buckets")
+    discard(spark, shared)
 
     stars = materialise(buckets.filter(F.col("node") != F.col("least")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    links = materialise(_verified(materialise(_likely(stars, nodes, plan), "likely"), base, plan), "links")
+    likely = _likely(stars, nodes, plan)
+    discard(spark, stars)
+    links = materialise(_verified(likely, base, plan), "links")
+    discard(spark, likely)
     roots = components(links)
+    discard(spark, links)
 
     rooted = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left")
     rooted = materialise(rooted.select("key", "band", "node", (F.col("n_shingles") + 256).alias("weight"), F.coalesce("root", "node").alias("root")), "rooted")
+    discard(spark, buckets)
     met = materialise(cells(rooted, plan.cell), "cells")
+    discard(spark, rooted)
     if not met.isEmpty():
         bounds = least_matches(plan)
         contents = materialise(_sets(met.select("node").distinct(), base, nodes, plan), "sets")
         found = materialise(links_across(met, contents, lambda held: _Cell(held, plan, bounds)), "links")
-        roots = components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
+        discard(spark, contents)
+        before, roots = roots, components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
+        discard(spark, before, found)
+    discard(spark, met, nodes)
     return groups.join(roots.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
 
@@ -278,7 +310,10 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, *, id_col: str =
     named = linked.select("digest", "root").join(least, "root").select("digest", "component_id")
     some = rows.filter(F.col("n_shingles") > 0).join(named, "digest").select("__id", "n_shingles", "component_id")
     none = rows.filter(F.col("n_shingles") == 0).select("__id", "n_shingles", F.col("__id").alias("component_id"))
-    return some.unionByName(none).select(F.col("__id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    found = some.unionByName(none).select(F.col("__id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("__id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    found = materialise(found, "near-duplicates")
+    discard(docs.sparkSession, base)
+    return found
 
 
 def keep_one(docs: DataFrame, plan: Plan | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

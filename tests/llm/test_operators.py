@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import ann, langid, lines, minhash, packing, pieces, secrets, sharding, topk, toxicity
+from granary.llm import ann, components, langid, lines, minhash, packing, pieces, secrets, sharding, topk, toxicity
 from granary.llm.common import held_out
 
 BPE, RANKS, PIECES = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
@@ -489,11 +489,32 @@ def test_near_copies_and_chains_in_split_cells(spark):
             x[k] = f"m{int(rng.integers(500))}"
         rows.append((i, " ".join(x)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for cell in (1 << 21, 6000):
-        found = minhash.near_duplicates(df, minhash.Plan(words=2, cell=cell)).collect()
+    for plan in (minhash.Plan(words=2), minhash.Plan(words=2, cell=6000), minhash.Plan(words=2, star=4, most_parts=3)):
+        found = minhash.near_duplicates(df, plan).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 2, 80)
 
 
+def test_components_with_split_hubs(spark, monkeypatch):
+    """A hub of half of all edges, a chain, and random edges; the hub is salted, nothing else changes."""
+    rng = np.random.default_rng(5)
+    edges = [(0, k) for k in range(3, 900, 3)] + [(1000 + k, 1001 + k) for k in range(80)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (250, 2)) if a != b]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    expected = {(x, find(x)) for x in root if find(x) != x}
+    df = spark.createDataFrame(edges, "u long, v long")
+    for wide in (1 << 20, 1):
+        monkeypatch.setattr(components, "WIDE", wide)
+        assert {tuple(r) for r in components.components(df).collect()} == expected
+
+
 def test_a_forest_joins_what_all_pairs_join():
     class Near:
         def __init__(self, x):
