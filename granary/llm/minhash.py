@@ -2,15 +2,17 @@
 
 1. Every text becomes a set of hashed word shingles; equal sets become one
    node before anything is compared, so exact copies never meet in pairs.
-2. Nodes share a bucket if one of the signature's bands agrees. Within a
-   bucket each member is first paired with the bucket's smallest node only.
+2. Nodes share a bucket if one of the signature's bands agrees. In the
+   buckets of the first ``lead`` bands each member is paired with the smallest
+   node; then, in the buckets of all bands, the smallest node of each component
+   with that of the component with most members there.
 3. A candidate pair is compared one signature batch after another. After n
    compared positions with m agreements the posterior of the similarity (flat
    prior) is Beta(m + 1, n - m + 1); the pair is dropped as soon as the
    probability of reaching the threshold falls under ``miss``.
 4. Survivors are verified exactly on their full shingle sets.
-5. The links join nodes into components. Buckets whose members are then in
-   different components become cells of bounded size, which hold the sets of
+5. The links join nodes into components. Buckets, of all bands, whose members
+   are then in different components become cells of bounded size, which hold the sets of
    their members: candidates across components are pruned as in 3, verified
    on the spot, the likeliest first, and only links that join two components
    leave the cell. So a group of near copies costs its members, not its
@@ -46,7 +48,8 @@ class Plan:
     """Shingle width, threshold in percent, bands, rows a band; signature positions compared, by batch; miss probability.
 
     ``cell`` bounds the shingles (with 256 more a member) of the part of a bucket that one task compares with another part.
-    A bucket's smallest node and its members are verified in parts of about ``star`` members, at most ``most_parts`` of them.
+    ``lead`` bands are searched before the rest, so that most near copies are joined before all bands are.
+    A node and those that it is compared with are verified in parts of about ``star`` members, at most ``most_parts`` of them.
     """
 
     words: int = 5
@@ -56,6 +59,7 @@ class Plan:
     batch: int = 33
     compared: int = 264
     cell: int = 1 << 21
+    lead: int = 4
     star: int = 1024
     most_parts: int = 4096
     miss: float = 1e-6
@@ -253,6 +257,38 @@ def _verified(pairs: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
     return runs.mapInArrow(released(verify), "u long, v long")
 
 
+def _banded(nodes: DataFrame, plan: Plan, bands: int) -> DataFrame:
+    """``nodes`` without signature, once for each of the first ``bands`` bands, with band and key."""
+    width = 2 * plan.rows
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+    return nodes.select("*", F.posexplode(keys).alias("band", "key")).drop("sig")
+
+
+def _open(nodes: DataFrame, roots: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """The keys (key, n) of the buckets that hold nodes of several components, and all their rows with root."""
+    rooted = nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _banded(rooted, plan, plan.bands)
+    keys = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b")
+    keys = materialise(keys.select("key", "n"), "open")
+    return keys, Bloom(keys, "key").rows(rows, "key")
+
+
+def _linked(stars: DataFrame, nodes: DataFrame, base: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs of ``stars`` that are links, written."""
+    stars = materialise(stars.distinct(), "pairs")
+    likely = _likely(stars, nodes, plan)
+    links = materialise(_verified(likely, base, plan), "links")
+    discard(base.sparkSession, stars, likely)
+    return links
+
+
+def _joined(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` after the components that ``links`` join have become one; both tables are discarded."""
+    joined = components(links.unionByName(roots.select("u", F.col("root").alias("v"))))
+    discard(links.sparkSession, links, roots)
+    return joined
+
+
 def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     """(digest, root) of a ``shingled`` table that has been written: ``root`` names the component."""
     spark = base.sparkSession
@@ -260,34 +296,34 @@ def cluster(base: DataFrame, plan: Plan) -> DataFrame:
     groups = filled.groupBy("digest").agg(F.min("__row").alias("node"))
     nodes = filled.select(F.col("__row").alias("node"), "n_shingles", "sig").join(groups.select("node"), "node", "left_semi")
     nodes = materialise(nodes, "nodes")
-    width = 2 * plan.rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(plan.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    banded = nodes.select("node", "n_shingles", F.posexplode(keys).alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared = materialise(shared, "shared")
-    buckets = materialise(join_spread(banded, shared, "key", "n").select("key", "band", "node", "n_shingles", "least", "n"), "buckets")
-    discard(spark, shared)
 
-    stars = materialise(buckets.filter(F.col("node") != F.col("least")).select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    likely = _likely(stars, nodes, plan)
-    discard(spark, stars)
-    links = materialise(_verified(likely, base, plan), "links")
-    discard(spark, likely)
+    first = _banded(nodes.select("node", "sig"), plan, min(plan.lead, plan.bands))
+    shared = first.groupBy("key").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = materialise(shared, "shared")
+    stars = join_spread(first, shared, "key", "n").select("u", F.col("node").alias("v")).filter("u != v")
+    links = _linked(stars, nodes, base, plan)
     roots = components(links)
-    discard(spark, links)
-
-    rooted = buckets.filter(F.col("n") > 2).join(roots.withColumnRenamed("u", "node"), "node", "left")
-    rooted = materialise(rooted.select("key", "band", "node", (F.col("n_shingles") + 256).alias("weight"), F.coalesce("root", "node").alias("root")), "rooted")
-    discard(spark, buckets)
+    discard(spark, shared, links)
+
+    keys, rows = _open(nodes, roots, plan)
+    held = materialise(rows.groupBy("key", "root").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")), "held")
+    heads = held.groupBy("key").agg(F.max_by("v", F.struct("n", "root")).alias("u"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    heads = materialise(heads, "heads")
+    stars = join_spread(held.select("key", "v"), heads, "key", "roots").select("u", "v").filter("u != v")
+    roots = _joined(_linked(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), nodes, base, plan), roots)
+    discard(spark, keys, held, heads)
+
+    keys, rows = _open(nodes, roots, plan)
+    rooted = join_spread(rows, keys.filter("n > 2"), "key", "n")  # a bucket of two has had its pair compared
+    rooted = materialise(rooted.select("key", "band", "node", (F.col("n_shingles") + 256).alias("weight"), "root"), "rooted")
     met = materialise(cells(rooted, plan.cell), "cells")
-    discard(spark, rooted)
+    discard(spark, keys, rooted)
     if not met.isEmpty():
         bounds = least_matches(plan)
         contents = materialise(_sets(met.select("node").distinct(), base, nodes, plan), "sets")
         found = materialise(links_across(met, contents, lambda held: _Cell(held, plan, bounds)), "links")
         discard(spark, contents)
-        before, roots = roots, components(found.unionByName(roots.select("u", F.col("root").alias("v"))))
-        discard(spark, before, found)
+        roots = _joined(found, roots)
     discard(spark, met, nodes)
     return groups.join(roots.withColumnRenamed("u", "node"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
 
