@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.registry import query, table
-from granary.sources import files, schemas
+from granary.sources import files, schemas, sections
 
 
 def written_text(df: DataFrame, label: str) -> str:
@@ -41,14 +41,12 @@ def s25_rejected_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.lit("good").alias("kind"), F.col("id").cast("string").alias("value")).unionByName(bad.select(F.lit("bad").alias("kind"), F.col("line").alias("value")))
 
 
-@query("SELECT lang, doc_id, md5(text) AS text_md5 FROM documents WHERE lang <> 'de'")
+@query("SELECT lang, doc_id, md5(text) AS text_md5 FROM documents")
 def s03_collections(spark: SparkSession, d: str) -> DataFrame:
-    """Two folders of a domain-partitioned sink as two collections."""
+    """The folders of a domain-partitioned sink as so many collections."""
     path = files.scratch(spark, "domains")
-    docs = table(spark, d, "documents")
-    files.write_json_lines(docs.select("doc_id", "lang", "text"), path, by="lang")
-    langs = sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang != "de")
-    rows = files.collections(spark, {x: [f"{path}/lang={x}"] for x in langs}, "doc_id long, text string")
+    files.write_json_lines(table(spark, d, "documents").select("doc_id", "lang", "text"), path, by="lang")
+    rows = files.folders(spark, path, "lang", "doc_id long, text string")
     return rows.select(F.col("collection").alias("lang"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -97,29 +95,106 @@ def s13_binary_files(spark: SparkSession, d: str) -> DataFrame:
     return files.binary_files(spark, f"{path}/*.txt").groupBy("suffix").agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 
-def sections_of(spark: SparkSession, d: str, mark: str) -> str:
-    b = table(spark, d, "benchmark").filter("item_id % 5 <> 4")
-    flat = F.translate("text", "\n#", "  ")
-    answer = F.when(F.col("item_id") % 5 == 1, "").otherwise(F.concat(F.lit("\n- 답: a"), "item_id"))
-    section = F.concat(F.lit(f"### {mark}-"), F.lpad(F.col("item_id").cast("string"), 3, "0"), F.lit(".\n- 질문: "), flat, answer, F.lit("\n- 난이도: 상"))
-    return written_text(b.select(section.alias("value")), "markdown")
+def sections_of(spark: SparkSession, d: str, label: str, *lines: tuple[int | None, Column | str]) -> str:
+    """Each benchmark item as a section of ``lines``; a line numbered n is left out of the items with item_id % 5 = n."""
+    part = lambda at, c: F.when(F.col("item_id") % 5 != F.lit(at), c) if at is not None else c
+    rows = table(spark, d, "benchmark").select(F.concat_ws("\n", *[part(at, F.lit(c) if isinstance(c, str) else c) for at, c in lines]).alias("value"))
+    path = files.scratch(spark, label)
+    rows.write.text(path)
+    return path
+
+
+ITEM = "format('{:03d}', item_id)"
+BODY = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
 
 
-SECTION_SQL = "SELECT regexp_replace(translate(text, chr(10) || '#', '  '), '^\\s+|\\s+$', '', 'g') AS question, {answer} AS answer FROM benchmark WHERE item_id % 5 NOT IN ({out})"
+def body() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
-@query(SECTION_SQL.format(answer="CASE WHEN item_id % 5 <> 1 THEN 'a' || item_id END", out="4"))
+@query(
+    f"""SELECT 'QA-' || {ITEM} AS id, CASE WHEN item_id % 5 = 4 THEN 'unknown' ELSE 'single' END AS type, 'd' || item_id % 3 AS domains, CASE WHEN item_id % 5 = 3 THEN '' ELSE 'P' || item_id % 7 END AS persona_id,
+    CASE WHEN item_id % 5 = 3 THEN '' ELSE 'owner ' || item_id END AS persona, CASE WHEN item_id % 5 = 1 THEN '' ELSE {BODY} END AS question, CASE WHEN item_id % 5 IN (1, 2) THEN '' ELSE {BODY} || chr(10) || chr(10) || 'a' || item_id END AS answer,
+    CASE WHEN item_id % 5 = 2 THEN '' ELSE '- e' || item_id || chr(10) || '- f' END AS evidence FROM benchmark"""
+)
 def s21_sections(spark: SparkSession, d: str) -> DataFrame:
-    parts = files.sections(spark, sections_of(spark, d, "QA"), "### QA-")
-    return files.labelled_fields(parts, {"question": [r"질문: (.*)"], "answer": [r"정답: (.*)", r"답: (.*)"]}, ["question"]).select("question", "answer")
+    """Items whose type, persona, answer or evidence is missing keep the rest."""
+    item = F.col("item_id")
+    path = sections_of(
+        spark, d, "named-sections",
+        (None, F.concat(F.lit("### QA-"), F.format_string("%03d", item))),
+        (4, "- Type: `single`"),
+        (None, F.concat(F.lit("- Domains: `d"), item % 3, F.lit("`"))),
+        (3, F.concat(F.lit("- Persona: `P"), item % 7, F.lit("` (owner "), item, F.lit(")"))),
+        (None, F.concat(F.lit("**Question**\n"), body())),
+        (1, F.concat(F.lit("**Answer**\n"), body(), F.lit("\n\na"), item)),
+        (2, F.concat(F.lit("**Evidence**\n- e"), item, F.lit("\n- f\n"))),
+    )
+    return sections.named_items(spark, path)
+
+
+@query(
+    f"""SELECT 'Q' || item_id AS id, CASE WHEN item_id % 5 = 4 THEN '#### Q' || item_id || '. t' || item_id ELSE 't' || item_id END AS title, CASE WHEN item_id % 5 = 4 THEN '' ELSE 'P' || item_id % 7 END AS persona_id,
+    CASE WHEN item_id % 5 = 4 THEN '' ELSE 'new owner' END AS persona, CASE WHEN item_id % 5 = 1 THEN '' ELSE {BODY} END AS question, CASE WHEN item_id % 5 IN (1, 2) THEN '' ELSE 'a' || item_id || chr(10) || {BODY} END AS answer,
+    CASE WHEN item_id % 5 IN (2, 3) THEN '' ELSE '- v' || item_id END AS verification, CASE WHEN item_id % 5 = 3 THEN '' ELSE 'r' || item_id END AS reference FROM benchmark"""
+)
+def s22_numbered_sections(spark: SparkSession, d: str) -> DataFrame:
+    item = F.col("item_id")
+    path = sections_of(
+        spark, d, "numbered-sections",
+        (None, F.concat(F.lit("#### Q"), item, F.lit(". t"), item, F.lit(" —"), F.when(item % 5 != 4, F.concat(F.lit(" [P"), item % 7, F.lit(" new owner]"))).otherwise(""))),
+        (None, F.concat(F.lit("**질문**: "), body())),
+        (1, F.concat(F.lit("**기대 답변**: a"), item, F.lit("\n"), body())),
+        (2, F.concat(F.lit("**검증 포인트**:\n- v"), item)),
+        (3, F.concat(F.lit("**참조 데이터**: r"), item)),
+        (None, "---"),
+    )
+    return sections.numbered_items(spark, path)
 
 
-@query(SECTION_SQL.format(answer="'a' || item_id", out="1, 4"))
+EVIDENCE = "'| e' || item_id || ' |' || chr(10) || '---'"
+
+
+@query(
+    f"""SELECT 'Q' || item_id AS id, CASE WHEN item_id % 5 = 4 THEN 'Medium' ELSE 'Hard' END AS difficulty, CASE WHEN item_id % 2 = 0 THEN 'B' ELSE '' END AS persona, CASE WHEN item_id % 5 = 0 THEN '' ELSE 'd' || item_id END AS domains,
+    'law' AS source_type, {BODY} AS question, CASE WHEN item_id % 5 = 1 THEN '' ELSE 'a' || item_id || rtrim(chr(10) || chr(10) || {BODY}, chr(10)) END AS answer,
+    CASE WHEN item_id % 5 = 2 THEN '' ELSE '---' || chr(10) || '**[답변 근거]** b' || item_id || CASE WHEN item_id % 5 = 3 THEN '' ELSE chr(10) || '**Evidence**:' || chr(10) || {EVIDENCE} END END AS basis,
+    CASE WHEN item_id % 5 = 3 THEN '' ELSE {EVIDENCE} END AS evidence FROM benchmark"""
+)
+def s23_graded_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted questions over several lines; an answer without a basis ends at the next rule."""
+    item = F.col("item_id")
+    path = sections_of(
+        spark, d, "graded-sections",
+        (None, F.concat(F.lit("### Q"), item, F.lit(". t"), F.when(item % 5 != 4, F.lit(" [Hard]")).otherwise(""), F.when(item % 2 == 0, F.lit(" [페르소나 B: owner]")).otherwise(""))),
+        (None, "**소스 유형**: `law`"),
+        (None, F.concat(F.lit("**질문**:\n> "), F.regexp_replace(body(), "\n", "\n> "))),
+        (0, F.concat(F.lit("**도메인**: "), F.when(item % 2 == 0, F.concat(F.lit("`d"), item, F.lit("`"))).otherwise(F.concat(F.lit("d"), item)))),
+        (None, F.when(item % 5 == 1, F.lit("**기대 답변** is missing")).otherwise(F.concat(F.lit("**기대 답변**:\na"), item, F.lit("\n\n"), body()))),
+        (None, F.when(item % 5 == 2, F.lit("---")).otherwise(F.concat(F.lit("---\n**[답변 근거]** b"), item))),
+        (3, F.concat(F.lit("**Evidence**:\n| e"), item, F.lit(" |\n---"))),
+    )
+    return sections.graded_items(spark, path)
+
+
+@query(
+    f"""SELECT substr('UVWX', CAST(item_id % 4 AS INTEGER) + 1, 1) || '-' || {ITEM} AS id, 'd' || item_id % 3 AS domain, CASE WHEN item_id % 5 = 4 THEN '' ELSE '상' END AS difficulty, {BODY} AS question, 'a' || item_id || chr(10) || {BODY} AS ground_truth
+    FROM benchmark WHERE item_id % 5 NOT IN (1, 2)"""
+)
 def s24_evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A section without one of the required parts is no row."""
-    parts = files.sections(spark, sections_of(spark, d, "U"), "### [UVWX]-")
-    fields = {"id": [r"### ([UVWX]-\d+)"], "question": [r"질문: (.*)"], "answer": [r"답: (.*)"], "difficulty": [r"난이도: (.*)"]}
-    return files.labelled_fields(parts, fields, ["id", "question", "answer", "difficulty"]).select("question", "answer")
+    """A section without a domain or an answer is no row; an answer ends at its basis or at the points to verify."""
+    item = F.col("item_id")
+    mark = F.substring(F.lit("UVWX"), (item % 4 + 1).cast("int"), F.lit(1))
+    path = sections_of(
+        spark, d, "evaluation-sections",
+        (None, F.concat(F.lit("### "), mark, F.lit("-"), item, F.lit(". t"))),
+        (1, F.concat(F.lit("- **도메인**: d"), item % 3)),
+        (4, "- **난이도**: 상"),
+        (None, F.concat(F.lit("**질문**: "), body(), F.lit("\n"))),
+        (2, F.concat(F.lit("**기대 답변**:\n\na"), item, F.lit("\n"), body())),
+        (None, F.when(item % 2 == 0, F.lit("---\n**[답변 근거]**")).otherwise(F.lit("\n**검증 포인트**"))),
+    )
+    return sections.evaluation_rows(spark, path)
 
 
 @query("SELECT 'line ' || event_id AS line FROM events WHERE event_id BETWEEN (SELECT max(event_id) - 39 FROM events) AND (SELECT max(event_id) - 20 FROM events)")

@@ -39,6 +39,15 @@ def json_lines_with_rejects(spark: SparkSession, path: str, schema: str) -> tupl
     return rows.filter(~bad).select(*[F.col(f"r.{f.name}") for f in fields]), rows.filter(bad).select(F.col("value").alias("line"))
 
 
+def folders(spark: SparkSession, base: str, by: str, schema: str) -> DataFrame:
+    """All folders ``by=value`` below ``base`` in one scan, the value as ``collection`` (null for the rows without one), with ``source_file``.
+
+    A filter on ``collection`` prunes folders.
+    """
+    rows = json_lines(spark, base, f"{schema}, {by} string").select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
+    return rows.withColumnRenamed(by, "collection")
+
+
 def collections(spark: SparkSession, paths: dict[str, Sequence[str]], schema: str, only: Sequence[str] | None = None) -> DataFrame:
     """The files of several collections with ``collection`` and ``source_file``; ``only`` names the files to keep."""
     parts = []
@@ -99,7 +108,7 @@ def xml_items(spark: SparkSession, path: str) -> DataFrame:
 def sections(spark: SparkSession, path: str, heading: str) -> DataFrame:
     """Sections of a Markdown file: ``heading`` (a pattern that starts a line), one row each with its text."""
     whole = spark.read.text(path, wholetext=True)
-    parts = F.filter(F.split(F.col("value"), f"(?m)(?=^{heading})"), lambda x: x.rlike(f"^{heading}"))
+    parts = F.filter(F.split(F.col("value"), f"(?m)(?=^{heading})"), lambda x: x.rlike(f"(?m)^{heading}"))
     return whole.select(F.posexplode(parts).alias("seq", "section"))
 
 
