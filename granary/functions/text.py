@@ -57,6 +57,9 @@ WARNING_LINE = r"\n*>\s*주의:\s*이 답변은 참고 자료 인용이 누락
 # A citation of a law.
 LAW_CITATION = r"제\s*\d+\s*조|법\s+제\s*\d+|시행령|시행규칙|동법|같은\s*법"
 
+# Marks of a converted guide that are no text: images, page types, fences, rules.
+GUIDE_MARKS = (r"!\[.*?\]\(.*?\)", r"\\?\[TYPE:\s*(?:content|form|divider|cover)\\?\]", r"(?m)^```(?:markdown)?\s*$", r"(?m)^-{3,}\s*$")
+
 # Attempts to take over a prompt, each with its name, in the order in which they are filtered.
 INJECTIONS = (
     (r"ignore\s+(all\s+)?previous\s+(instructions?|prompts?|rules?)", "ignore previous instructions"),
@@ -93,6 +96,9 @@ PAGE_EDGES = (
     r"^[가-힣]+\s*/\s*\d+$",
 )
 
+# Characters that show nothing.
+INVISIBLE = r"[\x{200b}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{feff}]"
+
 WIDE = "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 NARROW = "".join(chr(c - 0xFEE0) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 
@@ -219,7 +225,7 @@ def judged_score(c: Column) -> Column:
 
 def narrow(c: Column) -> Column:
     """Wide Latin letters as plain ones, invisible characters out."""
-    return F.regexp_replace(F.translate(c, WIDE, NARROW), "[​-‏ -  ⁠﻿]", "")
+    return F.regexp_replace(F.translate(c, WIDE, NARROW), INVISIBLE, "")
 
 
 def filtered(c: Column, patterns: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
@@ -280,7 +286,7 @@ def page_edge(c: Column) -> Column:
 def guide_text(c: Column) -> Column:
     """Without NUL, images, page type tags, fences and rules; blanks collapsed, lines stripped, one blank line at most."""
     c = F.translate(F.coalesce(c, F.lit("")), "\0", " ")
-    for pattern in (r"!\[.*?\]\(.*?\)", r"\\?\[TYPE:\s*(?:content|form|divider|cover)\\?\]", r"(?m)^```(?:markdown)?\s*$", r"(?m)^-{3,}\s*$"):
+    for pattern in GUIDE_MARKS:
         c = F.regexp_replace(c, pattern, "")
     c = F.array_join(F.transform(F.split(F.regexp_replace(c, r"[ \t]+", " "), "\n", -1), stripped), "\n")
     return stripped(F.regexp_replace(c, r"\n{3,}", "\n\n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,15 +135,26 @@ def d24_headings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("n_nationkey", F.replace("text", F.concat(F.lit("("), name, F.lit(")")), F.concat(F.lit("("), "n_name", F.lit(")"))).alias("text"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(list_aggregate(list_transform(string_split(regexp_replace(text, '[ \\t]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')), 'string_agg', chr(10)), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents WHERE NOT regexp_matches(text, '\\n\\s*\\n\\s*\\n')")
+GUIDE_RAW = "coalesce('![a](b)' || chr(10) || '```markdown' || chr(10) || text || chr(10) || '---' || chr(10) || '[TYPE: form]' || chr(10), '')"
+GUIDE_BARE = reduce(lambda sql, pattern: f"regexp_replace({sql}, '{pattern}', '', 'g')", text.GUIDE_MARKS, GUIDE_RAW)
+GUIDE_LINES = f"list_aggregate(list_transform(string_split(regexp_replace({GUIDE_BARE}, '[ \\t]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')), 'string_agg', chr(10))"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace({GUIDE_LINES}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned FROM documents")
 def c05_guides(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("![a](b)\n```markdown\n"), "text", F.lit("\n---\n[TYPE: form]\n"))
-    return table(spark, d, "documents").filter(~F.col("text").rlike(r"\n\s*\n\s*\n")).select("doc_id", F.md5(text.guide_text(raw).cast("binary")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.guide_text(raw).cast("binary")).alias("cleaned"))
+
 
+SHORT_NAME = "CASE WHEN length({c}) > 60 THEN substr({c}, 1, 60) || '…' ELSE {c} END"
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN '[' || p_name || ']' WHEN p_partkey % 3 = 1 THEN '[' || p_name || ' > 제' || p_size || '조]' ELSE '[' || substr(repeat(p_name, 9), 1, 60) || '… > 제' || p_size || '조(' || p_type || ')]' END AS prefix FROM part WHERE length(p_name) BETWEEN 7 AND 60")
+
+@query(
+    f"SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN '[' || {SHORT_NAME.format(c='p_name')} || ']' WHEN p_partkey % 3 = 1 THEN '[' || {SHORT_NAME.format(c='p_name')} || ' > 제' || p_size || '조]'"
+    f" ELSE '[' || {SHORT_NAME.format(c='repeat(p_name, 9)')} || ' > 제' || p_size || '조(' || p_type || ')]' END AS prefix FROM part"
+)
 def c18_law_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter(F.length("p_name").between(7, 60))
+    p = table(spark, d, "part")
     none = F.col("p_partkey") % 5 == 0
     law = F.when(none, None).when(F.col("p_partkey") % 3 == 2, F.repeat("p_name", F.lit(9))).otherwise(F.col("p_name"))
     number = F.when(~none & (F.col("p_partkey") % 3 != 0), F.col("p_size").cast("string"))
