@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +44,34 @@ def ci_gate(runs: DataFrame, floors: dict[str, float], *, most_timeouts: int, mo
 
 
 def aligned_claims(claims: DataFrame, nearest: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """Coverage per question: share of its claims whose best distance is within the threshold.
+    """Coverage per question and, with a null id and ``overall`` set, over all claims: share of claims whose best distance is within the threshold.
 
-    ``claims``: question_id, claim_id; ``nearest``: claim_id, distance (any number of rows).
+    ``claims``: question_id, claim_id; ``nearest``: claim_id, distance (any
+    number of rows; a claim without one is not covered).
     """
     best = nearest.groupBy("claim_id").agg(F.min("distance").alias("best"))
     per = claims.join(best, "claim_id", "left").withColumn("covered", F.coalesce(F.col("best") <= threshold, F.lit(False)))
-    return per.groupBy("question_id").agg(F.avg(F.col("covered").cast("int")).alias("coverage"), F.count(F.lit(1)).alias("n_claims"))
+    return per.rollup("question_id").agg((F.grouping("question_id") == 1).alias("overall"), F.avg(F.col("covered").cast("int")).alias("coverage"), F.count(F.lit(1)).alias("n_claims"))
+
+
+def swept(plan: Callable[..., DataFrame], base: dict[str, Any], overrides: dict[str, dict[str, Any]]) -> DataFrame:
+    """The rows of ``plan(**settings)`` under ``base`` and under each stated override of it, with the name as ``config``.
+
+    Each configuration is a plan of its own, so a setting may change any step;
+    what the plans have in common is shuffled once, as Spark reuses equal
+    exchanges. Unknown settings raise an error.
+    """
+    strange = {k for o in overrides.values() for k in o} - base.keys()
+    if strange:
+        raise ValueError(f"unknown settings: {', '.join(sorted(strange))}")
+    runs = [plan(**base | o).withColumn("config", F.lit(name)) for name, o in ({"base": {}} | overrides).items()]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def config_grid(runs: DataFrame, scores: Sequence[str], digits: int = 6) -> DataFrame:
+    """config, the mean of each score, and place by the first; one row for each configuration of a stated grid."""
+    means = runs.groupBy("config").agg(*[F.round(F.avg(c), digits).alias(c) for c in scores])
+    return means.withColumn("place", F.rank().over(Window.orderBy(F.col(scores[0]).desc())))
 
 
 def toggle_sweep(runs: DataFrame, config: str, score: str, base: str, digits: int = 6) -> DataFrame:

@@ -271,27 +271,3 @@ def w15_filled_down(spark: SparkSession, d: str) -> DataFrame:
 def u02_union_all(spark: SparkSession, d: str) -> DataFrame:
     count = lambda name: table(spark, d, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
     return count("orders").unionAll(count("part")).unionAll(count("part"))
-
-
-@query(
-    """WITH c AS (SELECT config, round(avg(value * factor), 6) AS mean FROM events JOIN (VALUES ('base', 1.0), ('no rerank', 0.9), ('no rewrite', 1.1), ('weight 0.3', 0.5)) AS c(config, factor) ON true GROUP BY config)
-    SELECT config, mean, round(mean - (SELECT mean FROM c WHERE config = 'base'), 6) AS diff, CAST(rank() OVER (ORDER BY mean DESC) AS INTEGER) AS place FROM c"""
-)
-def e05_toggle_sweep(spark: SparkSession, d: str) -> DataFrame:
-    from granary.operators.evaluation import toggle_sweep
-
-    grid = F.array(*[F.struct(F.lit(n).alias("config"), F.lit(f).alias("factor")) for n, f in (("base", 1.0), ("no rerank", 0.9), ("no rewrite", 1.1), ("weight 0.3", 0.5))])
-    runs = table(spark, d, "events").select("value", F.explode(grid).alias("c")).select("c.config", (F.col("value") * F.col("c.factor")).alias("score"))
-    return toggle_sweep(runs, "config", "score", "base", 6)
-
-
-@query(
-    """WITH c AS (SELECT conv_id AS question_id, conv_id * 1000 + turn AS claim_id, (turn * 7 + conv_id) % 20 / 10.0 AS a, (turn * 3 + conv_id) % 13 / 5.0 AS b FROM conversations)
-    SELECT question_id, round(avg(CASE WHEN turn_known AND least(a, b) <= 0.5 THEN 1 ELSE 0 END), 6) AS coverage, count(*) AS n_claims FROM (SELECT *, claim_id % 5 > 0 AS turn_known FROM c) GROUP BY question_id"""
-)
-def e06_aligned_claims(spark: SparkSession, d: str) -> DataFrame:
-    from granary.operators.evaluation import aligned_claims
-
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), ((F.col("turn") * 7 + F.col("conv_id")) % 20 / 10).alias("a"), ((F.col("turn") * 3 + F.col("conv_id")) % 13 / 5).alias("b"))
-    near = c.filter("claim_id % 5 > 0").select("claim_id", F.explode(F.array("a", "b")).alias("distance"))
-    return aligned_claims(c.select("question_id", "claim_id"), near, 0.5).withColumn("coverage", F.round("coverage", 6))

@@ -396,14 +396,6 @@ def e03_noise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(F.bool_or(F.contains(F.lower(F.substring("text", 1, 200)), F.lit("license"))).alias("noisy"), F.bool_or(F.contains(F.substring("text", 1, 30), F.lit("The"))).alias("essential"))
 
 
-@query("SELECT config, round(avg(value * factor), 6) AS mean, CAST(rank() OVER (ORDER BY round(avg(value * factor), 6) DESC) AS INTEGER) AS place FROM events JOIN (VALUES ('base', 1.0), ('half', 0.5), ('more', 1.5)) AS c(config, factor) ON true GROUP BY config")
-def e04_config_grid(spark: SparkSession, d: str) -> DataFrame:
-    grid = [("base", 1.0), ("half", 0.5), ("more", 1.5)]
-    runs = table(spark, d, "events").select("value", F.explode(F.array(*[F.struct(F.lit(n).alias("config"), F.lit(f).alias("factor")) for n, f in grid])).alias("c"))
-    means = runs.groupBy("c.config").agg(F.round(F.avg(F.col("value") * F.col("c.factor")), 6).alias("mean"))
-    return means.withColumn("place", F.rank().over(Window.orderBy(F.col("mean").desc())))
-
-
 @query("SELECT conv_id, turn, round((a + b) / 2.0, 6) AS coverage, CASE WHEN contains(lower(text), 'password') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS conflict_free, round(((a + b) / 2.0 + CASE WHEN contains(lower(text), 'password') THEN 0.0 ELSE 1.0 END) / 2, 6) AS score FROM (SELECT *, CAST(contains(lower(text), 'the') AS INT) AS a, CAST(contains(lower(text), 'and') AS INT) AS b FROM conversations)")
 def e07_contextual_metrics(spark: SparkSession, d: str) -> DataFrame:
     from granary.operators.evaluation import contextual
