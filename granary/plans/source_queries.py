@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators import pages
 from granary.plans.registry import query, table
 from granary.sources import files, schemas, sections
 
@@ -95,6 +96,33 @@ def s13_binary_files(spark: SparkSession, d: str) -> DataFrame:
     return files.binary_files(spark, f"{path}/*.txt").groupBy("suffix").agg(F.sum(F.octet_length("content")).alias("bytes"))
 
 
+PAGE_LINES = "list_aggregate(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x0B]')), 'string_agg', chr(10))"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, role = 'user' AS asks, {PAGE_LINES} AS held FROM conversations), u AS (SELECT *, sum(CAST(asks AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS item FROM t),
+    q AS (SELECT conv_id, item, max(CASE WHEN asks THEN turn END) AS turn, max(CASE WHEN asks THEN held END) AS question, arg_max(CASE WHEN NOT asks THEN coalesce(held || chr(10), '') || '(임금정책과-' || turn || ', 2020.1.' || conv_id % 28 + 1 || '.)' END, CASE WHEN NOT asks THEN turn END) AS answer FROM u WHERE item > 0 GROUP BY conv_id, item),
+    s AS (SELECT *, coalesce(CAST(max(CASE WHEN turn // 2 % 2 = 0 THEN turn // 4 + 4 END) OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR), '') AS section FROM q)
+    SELECT CAST(conv_id AS VARCHAR) AS file, 'INTER_C03_S' || CASE WHEN length(section) < 2 THEN lpad(section, 2, '0') ELSE section END || '_' || format('{{:02d}}', row_number() OVER (PARTITION BY conv_id, section ORDER BY item)) AS id, '총칙' AS chapter_title, section, 'head ' || turn || ' of two' AS title, question, coalesce(answer, '') AS answer, CASE WHEN answer IS NULL THEN '' ELSE regexp_extract(answer, '임금정책과-\\d+') END AS admin_no FROM s"""
+)
+def s15_page_items(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations laid out on pages: headings, a title in two lines, marks, lines across pages, a last line, noise behind it and page feet."""
+    c = table(spark, d, "conversations").withColumn("asks", F.col("role") == "user")
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\s]"))
+    place = lambda page, y, text, mark=None: F.struct((F.col("turn") * 1000 + page).alias("page"), F.lit(y).cast("double").alias("y"), (text if isinstance(text, Column) else F.lit(text)).alias("text"), F.lit(mark).cast("string").alias("mark"))
+    body = F.transform(lines, lambda x, i: F.struct((F.col("turn") * 1000 + F.floor(i / 40)).alias("page"), (100.0 + i % 40 * 12).alias("y"), x.alias("text"), F.lit(None).cast("string").alias("mark")))
+    feet = F.transform(lines, lambda x, i: F.struct((F.col("turn") * 1000 + F.floor(i / 40)).alias("page"), F.lit(900.0).alias("y"), F.lit("총칙 / 12").alias("text"), F.lit(None).cast("string").alias("mark")))
+    part = F.floor(F.col("turn") / 4)
+    first = F.when(F.col("turn") == 0, F.array(place(0, 1, "제 3 장"), place(0, 2, "총 칙"))).otherwise(F.array().cast("array<struct<page:bigint,y:double,text:string,mark:string>>"))
+    opened = F.when(F.col("asks") & (F.floor(F.col("turn") / 2) % 2 == 0), F.array(place(0, 20, F.concat((part + 4).cast("string"), F.lit(" 해고의 예고"))))).otherwise(F.array().cast("array<struct<page:bigint,y:double,text:string,mark:string>>"))
+    asked = F.array(place(0, 50, F.concat(F.lit("head "), "turn")), place(0, 60, " of  two"), place(0, 90, None, "question"))
+    closing = F.concat(F.lit("(임금정책과-"), "turn", F.lit(", 2020.1."), (F.col("conv_id") % 28 + 1).cast("string"), F.lit(".)"))
+    answered = F.array(place(0, 90, None, "answer"), place(990, 10, closing), place(991, 10, "noise"))
+    placed = F.concat(first, opened, F.when(F.col("asks"), asked).otherwise(answered), body, feet)
+    rows = c.select(F.col("conv_id").cast("string").alias("file"), F.inline(placed))
+    return pages.question_items(rows).select("file", "id", "chapter_title", "section", "title", "question", "answer", "admin_no")
+
+
 def sections_of(spark: SparkSession, d: str, label: str, *lines: tuple[int | None, Column | str]) -> str:
     """Each benchmark item as a section of ``lines``; a line numbered n is left out of the items with item_id % 5 = n."""
     part = lambda at, c: F.when(F.col("item_id") % 5 != F.lit(at), c) if at is not None else c
