@@ -7,6 +7,8 @@ Query tokens count as often as they occur.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,12 +78,12 @@ def meet(rows: DataFrame, queries: DataFrame, on: Column, *, row_id: str, query_
     return left.join(right, ["__cell", "__block"]).filter(on).drop("__cell", "__block")
 
 
-def distances(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64) -> DataFrame:
-    """query_id, vec_id, distance: each vector's cosine distance to each of ``queries`` (query_id, q)."""
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), scalars.norm(F.col(vec_col)).alias("nv"))
+def distances(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64, keep: Sequence[str] = ()) -> DataFrame:
+    """query_id, vec_id, distance and the columns ``keep`` of the vectors: each vector's cosine distance to each of ``queries`` (query_id, q)."""
+    v = vectors.select(*keep, F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), scalars.norm(F.col(vec_col)).alias("nv"))
     q = queries.select("query_id", "q", scalars.norm(F.col("q")).alias("nq"))
     distance = F.round(1 - scalars.dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv")), digits)
-    return meet(v, q, F.lit(True), row_id="vec_id", block=block, cells=cells).select("query_id", "vec_id", distance.alias("distance"))
+    return meet(v, q, F.lit(True), row_id="vec_id", block=block, cells=cells).select("query_id", "vec_id", distance.alias("distance"), *keep)
 
 
 def vector(vectors: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:

@@ -228,8 +228,10 @@ def s24_evaluation_rows(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'line ' || event_id AS line FROM events WHERE event_id BETWEEN (SELECT max(event_id) - 39 FROM events) AND (SELECT max(event_id) - 20 FROM events)")
 def s26_log_page(spark: SparkSession, d: str) -> DataFrame:
     """The second page of twenty, newest first."""
-    e = table(spark, d, "events").repartitionByRange(1, "event_id").sortWithinPartitions("event_id")
-    return files.log_page(spark, written_text(e.select(F.concat(F.lit("line "), "event_id").alias("value")), "log"), 2, 20)
+    path = files.scratch(spark, "log")
+    ordered = table(spark, d, "events").select("event_id", F.concat(F.lit("line "), "event_id").alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.select("value").write.text(path)  # the files' names follow the ranges
+    return files.log_page(spark, path, 2, 20)
 
 
 @query("SELECT doc_id, lang, '카 ' || source AS source, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS n FROM documents")

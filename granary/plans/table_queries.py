@@ -305,7 +305,7 @@ def u05_last_wins_merge(spark: SparkSession, d: str) -> DataFrame:
 def u07_missing_completed(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select("conv_id", "role").distinct()
     roles = c.select("role").distinct()
-    wanted = c.select("conv_id").distinct().join(F.broadcast(roles), F.lit(True))
+    wanted = search.meet(c.select("conv_id").distinct(), roles, F.lit(True), row_id="conv_id", query_id="role")  # broadcasts up to 4,096 roles, deals more to blocks
     return c.withColumn("made", F.lit(False)).unionByName(wanted.join(c, ["conv_id", "role"], "left_anti").withColumn("made", F.lit(True)))
 
 

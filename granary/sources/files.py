@@ -123,9 +123,13 @@ def labelled_fields(parts: DataFrame, patterns: dict[str, Sequence[str]], requir
 
 
 def log_page(spark: SparkSession, path: str, page: int, size: int, most: int = 10_000) -> DataFrame:
-    """A page of the last ``most`` lines, newest first."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
-    return rows.orderBy(F.col("n").desc()).limit(most).orderBy(F.col("n").desc()).offset((page - 1) * size).limit(size).select("line")
+    """A page of the last ``most`` lines, newest first; of several files the one with the greatest name is the newest.
+
+    Each task keeps its own last lines, so no more than ``most`` of a task move.
+    """
+    place = ["_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id()]
+    rows = spark.read.text(path).select(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip(("file", "start", "n"), place, strict=True)]).alias("at"), F.col("value").alias("line"))
+    return rows.orderBy(F.col("at").desc()).limit(most).orderBy(F.col("at").desc()).offset((page - 1) * size).limit(size).select("line")
 
 
 def binary_files(spark: SparkSession, glob: str) -> DataFrame:

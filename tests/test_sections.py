@@ -1,6 +1,6 @@
 """Layouts of question and answer sections against small files."""
 
-from granary.sources import sections
+from granary.sources import files, sections
 
 NAMED = """# Items
 ### QA-001
@@ -64,3 +64,11 @@ def test_evaluation_rows_need_domain_question_and_answer(spark, tmp_path):
     (tmp_path / "e.md").write_text(whole + whole.replace("U-7", "W-12").replace("- **도메인**: d\n", "") + whole.replace("U-7", "V-1234").replace("---\n**[답변 근거]**", "\n**검증 포인트**") + whole.replace("U-7", "X-1").split("---")[0])
     found = rows(sections.evaluation_rows(spark, str(tmp_path / "e.md")), "id", "difficulty", "question", "ground_truth")
     assert found == [("U-007", "", "q1\nq2", "a1\n\na2"), ("V-1234", "", "q1\nq2", "a1\n\na2")]
+
+
+def test_a_log_page_runs_over_files_by_name(spark, tmp_path):
+    for name, first in (("log-1.txt", 0), ("log-2.txt", 3), ("log-3.txt", 1000)):
+        (tmp_path / name).write_text("\n".join(f"line {i}" for i in range(first, {0: 3, 3: 1000, 1000: 1001}[first])))
+    page = lambda n, **how: [int(r.line.split()[1]) for r in files.log_page(spark, str(tmp_path), n, 4, **how).collect()]
+    assert page(1) == [1000, 999, 998, 997] and page(2) == [996, 995, 994, 993]
+    assert page(2, most=6) == [996, 995] and page(250) == [4, 3, 2, 1] and page(252) == []
