@@ -56,8 +56,12 @@ def j05_prefix_range_join(spark: SparkSession, d: str) -> DataFrame:
     low = F.expr("timestamp_ntz'1995-01-01' + make_dt_interval(int(c_custkey % 1000))")
     c = table(spark, d, "customer").select("c_custkey", F.substring("c_name", -1, 1).alias("digit"), low.alias("low"))
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderkey") % 10).cast("string").alias("last"))
-    hits = tables.prefix_range_join(o, c, F.col("last"), F.col("digit"), F.col("o_orderdate"), F.col("low"), F.col("low") + F.expr("interval 10 days"), 10 * 86400)
-    return hits.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"))
+    # ranges and orders are joined once for all customers and keys that share them, so pairs grow with the distinct ranges and times only
+    ranges, times = c.select("digit", "low").distinct(), o.groupBy("last", "o_orderdate").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("o_orderkey"))
+    hits = tables.prefix_range_join(times, ranges, F.col("last"), F.col("digit"), F.col("o_orderdate"), F.col("low"), F.col("low") + F.expr("interval 10 days"), 10 * 86400)
+    found = [F.sum("n").alias("n"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"), F.max("o_orderdate").alias("o_orderdate")]
+    of_range = hits.groupBy("digit", "low").agg(*found)
+    return c.join(of_range, ["digit", "low"]).groupBy("c_custkey").agg(*found).select("c_custkey", "n", F.col("o_orderkey").alias("newest"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
