@@ -149,3 +149,24 @@ def test_an_empty_table_is_one_partition(spark):
     databases.write_table(spark.createDataFrame([], "k long"), url, "t")
     df = databases.read_table(spark, url, "t", key="k")
     assert df.rdd.getNumPartitions() == 1 and df.count() == 0
+
+
+def test_tasks_out_of_reach_of_the_driver_ask_their_own_databases(spark, sf, monkeypatch):
+    from granary import plans
+
+    names = ("s18_relational_scan", "s18_pushed_query")
+    answers = lambda: [sorted(map(tuple, plans.QUERIES[name](spark, sf).collect())) for name in names]
+    wanted = answers()
+    monkeypatch.setattr(databases, "one_process", lambda spark: False)
+    monkeypatch.setattr(databases, "SHARD", 400)
+    monkeypatch.setattr(databases, "scratch_database", None)  # a call fails
+    assert answers() == wanted
+
+
+def test_shards_keep_kinds_and_odd_values(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1.5, "a'b"), (2, float("nan"), None), (None, None, ""), (4, float("inf"), "x")], "k long, v double, t string")
+    databases.write_shards(rows, f"{tmp_path}/images", "t")
+    found = databases.ask_shards(spark, f"{tmp_path}/images", "SELECT k, v, t FROM t", rows.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+    above = databases.ask_shards(spark, f"{tmp_path}/images", "SELECT k FROM t WHERE v > 2", "k long")
+    assert sorted(r.k for r in above.collect()) == [2, 4]
