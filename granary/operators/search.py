@@ -7,18 +7,22 @@ Query tokens count as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from granary.functions import scalars, text
-from granary.operators import ranking
+from granary.operators import nearest, ranking
+from granary.sources import files
 
 K1, B = 1.5, 0.75
-PARTS = 16
+CELL = 16384
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,34 +36,57 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", digits: int = 9) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "query", digits: int = 9, block: int = 512, cell: int = 8192) -> DataFrame:
     """query_id, rank, doc_id, score (min-max over all hits of the query, then the first k).
 
-    The corpus is tokenised once. Only terms that some query holds leave the
-    scan, with one row without a term for each document, in one exchange by
-    document; corpus counts and scores both read it. A document's scores are
-    summed where its terms are, so a frequent term spreads like the documents,
-    and only the best k and the extremes of each query move on.
+    The corpus is tokenised once. A task counts the terms of its documents and
+    writes those that some query holds, with one row without a term for each
+    document; corpus counts and scores both read them. Cells of about ``cell``
+    documents meet blocks of about ``block`` queries, and of each query only its
+    best k of a cell and its extremes there move on.
     """
+    spark = queries.sparkSession
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(text.tokens(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = wanted.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
+    terms = wanted.select("term").distinct().unionByName(spark.range(1).select(F.lit("").alias("term")))
+    size, most = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    cells, blocks = -(-(size or 1) // cell), -(-(queries.count() or 1) // block)
     toks = docs.select(F.col(id_col).alias("doc_id"), text.tokens(F.col(text_col)).alias("t"))
-    rows = toks.select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(terms, "term", "left_semi")
-    posted = rows.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = posted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dls"))
-    size = counts.filter("term = ''").select(F.col("df").alias("n"), (F.col("dls") / F.col("df")).alias("avgdl"))
-    known = wanted.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(size))  # one row
+    out = T.StructType([toks.schema["doc_id"], T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    posted = files.landed(toks.mapInArrow(nearest.counted(to_arrow_schema(out)), out).join(terms, "term", "left_semi").select(*out.names), "postings")
+    if (most or 0) > 1:  # repeated rows of a document count as one in document frequencies, and their terms together
+        posted = posted.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("times"))
+    else:
+        posted = posted.withColumn("times", F.lit(1).cast("long"))
+    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("times").alias("n"), F.sum(F.col("dl") * F.col("times")).alias("dls"))
+    corpus = counts.filter("term = ''").select("n", (F.col("dls") / F.col("n")).alias("avgdl"))
+    known = wanted.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(corpus))  # one row
     known = known.select("query_id", "term", "avgdl", (F.col("times") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * (K1 + 1)).alias("weight"))
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = posted.join(known, "term").groupBy("doc_id", "query_id").agg(F.round(F.sum(part), digits).alias("score")).filter("score > 0")
-    # one exchange, read twice: parts of a query's hits, so that no task has them all
-    hits = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).repartition("query_id", "part")
-    order = [F.col("score").desc(), F.col("doc_id")]
-    near = hits.withColumn("own", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).filter(F.col("own") <= k)
-    best = ranking.top(near.drop("own", "part"), k, "query_id", order)
-    lowest = hits.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
-    scaled = F.when(F.col("high") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(1.0)
-    return best.join(lowest, "query_id").select("query_id", "rank", "doc_id", scaled.alias("score"))
+    celled = posted.filter("term <> ''").select("doc_id", "dl", "term", "tf", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell"))
+    hits = met(
+        celled if blocks > 1 else celled.repartition(cells, "cell"),
+        known,
+        lambda schema: nearest.by_bm25(k, digits, K1, B, schema),
+        T.StructType([known.schema["query_id"], out["doc_id"], *[T.StructField(c, T.LongType()) for c in ("key", "low", "high")]]),
+        cells,
+        blocks,
+    )
+    w = Window.partitionBy("query_id")
+    hits = hits.withColumn("low", F.min("low").over(w)).withColumn("high", F.max("high").over(w))
+    best = ranking.top(hits, k, "query_id", [F.col("key").desc(), F.col("doc_id")])
+    score, low, high = ((F.col(c) / 10.0**digits) for c in ("key", "low", "high"))
+    return best.select("query_id", "rank", "doc_id", F.when(high > low, (score - low) / (high - low)).otherwise(1.0).alias("score"))
+
+
+def met(rows: DataFrame, queries: DataFrame, kernel: Callable[[pa.Schema], Callable[[pa.Table, pa.Table], pa.Table]], out: T.StructType, cells: int, blocks: int) -> DataFrame:
+    """What ``kernel`` finds of each cell of the rows (by their column ``cell``) for each block of the queries, both as tables."""
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = queries.withColumn("cell", number(cells))
+    keys = ["cell"]
+    if blocks > 1:
+        right = right.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        rows, keys = rows.withColumn("block", number(blocks)).repartition(cells * blocks, "cell", "block"), ["cell", "block"]
+    right = right.repartition(cells * blocks, *keys)
+    return rows.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel(to_arrow_schema(out)), out)
 
 
 def meet(rows: DataFrame, queries: DataFrame, on: Column, *, row_id: str, query_id: str = "query_id", block: int = 4096, cells: int = 64) -> DataFrame:
@@ -86,9 +113,21 @@ def distances(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id",
     return meet(v, q, F.lit(True), row_id="vec_id", block=block, cells=cells).select("query_id", "vec_id", distance.alias("distance"), *keep)
 
 
-def vector(vectors: DataFrame, queries: DataFrame, k: int, **how) -> DataFrame:
-    """query_id, rank, vec_id, distance: the k nearest by cosine; ``how`` as in ``distances``."""
-    return ranking.top(distances(vectors, queries, **how), k, "query_id", [F.col("distance"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "distance")
+def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 2048, cells: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, distance: the k nearest by cosine to each of ``queries`` (query_id, q).
+
+    Cells of about 16,384 vectors meet blocks of about ``block`` queries as
+    matrices; the first k of each cell move on. Distances that are not numbers
+    come after all that are, and nulls last.
+    """
+    cells = cells or -(-(vectors.count() or 1) // CELL)
+    blocks = -(-(queries.count() or 1) // block)
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int").alias("cell"))
+    v = v if blocks > 1 else v.repartition(cells, "cell")
+    out = T.StructType([queries.schema["query_id"], v.schema["vec_id"], T.StructField("odd", T.LongType()), T.StructField("key", T.LongType())])
+    near = met(v, queries.select("query_id", "q"), lambda schema: nearest.by_cosine(k, digits, schema), out, cells, blocks)
+    distance = F.when(F.col("odd") == 0, F.col("key") / 10.0**digits).when(F.col("odd") == 1, float("nan"))
+    return ranking.top(near, k, "query_id", [F.col("odd"), F.col("key"), F.col("vec_id")]).select("query_id", "rank", "vec_id", distance.alias("distance"))
 
 
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, *, vector_weight: float = 0.7, rrf_k: int = 30, digits: int = 9) -> DataFrame:

@@ -9,6 +9,7 @@ from granary.functions import scalars, text
 from granary.operators import ranking, search
 from granary.plans.registry import query, table
 from granary.plans.text_queries import TOKENS_SQL
+from granary.sources import files
 
 BM25_CTE = f"""toks AS (SELECT doc_id, {TOKENS_SQL.format(c='text')} AS t FROM documents),
 size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
@@ -26,7 +27,7 @@ vec AS (SELECT * FROM (SELECT query_id, vec_id, distance, CAST(row_number() OVER
 
 
 def keyword_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k, query_id="item_id", query_col="text")
+    return files.landed(search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k, query_id="item_id", query_col="text"), "keyword-hits")
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +36,7 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
-    return search.vector(table(spark, d, "embeddings"), vector_queries(spark, d), k)
+    return files.landed(search.vector(table(spark, d, "embeddings"), vector_queries(spark, d), k), "vector-hits")
 
 
 @query(f"WITH toks AS (SELECT doc_id, unnest({TOKENS_SQL.format(c='text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df FROM toks GROUP BY term")

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from granary import plans
-from granary.operators import tables
+from granary.operators import nearest, ranking, search, tables
 
 
 def test_customers_of_one_range_are_joined_once(spark, tmp_path, monkeypatch):
@@ -20,3 +25,65 @@ def test_customers_of_one_range_are_joined_once(spark, tmp_path, monkeypatch):
     newest = max(orders, key=lambda x: (x[1], x[0]))[0]
     assert sorted(map(tuple, found)) == [(c, 60, newest) for c, _ in customers]
     assert joined[0].count() <= 3  # one range, three times; 50 * 60 pairs before
+
+
+@pytest.fixture
+def ranked(monkeypatch):
+    """The rows among which first ones are looked for."""
+    seen, top = [], ranking.top
+    monkeypatch.setattr(ranking, "top", lambda df, *a, **k: seen.append(df) or top(df, *a, **k))
+    return seen
+
+
+def test_only_the_nearest_of_a_cell_leave_it(spark, ranked):
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(1, 8)), 300, axis=0)])[rng.permutation(600)]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    q = e.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    distance = np.round(1 - unit @ unit.T, 9)
+    want = {(i, r + 1, int(j)) for i in range(0, 600, 50) for r, j in enumerate(np.lexsort((np.arange(600), distance[i]))[:3])}
+    assert {(r.query_id, r.rank, r.vec_id) for r in search.vector(e, q, 3, cells=4).collect()} == want
+    assert ranked[0].count() <= 12 * 3 * 4  # 12 * 600 before
+
+
+def test_vectors_without_a_distance_come_last(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (50, None), (7, [-1.0, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.filter("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    found = search.vector(e, q, 9, cells=2).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in found] == [0, 5, 7, 2, 4, 1, 3, 6, 50] + [0, 1, 2, 3, 4, 5, 6, 7, 50]
+    assert [r.distance for r in found[:3]] == [0.0, 1.0, 2.0] and all(math.isnan(r.distance) for r in found[3:5]) and all(r.distance is None for r in found[5:])
+
+
+@pytest.mark.parametrize("how", [{}, {"cell": 30, "block": 2}])
+def test_only_the_best_documents_of_a_cell_leave_it(spark, ranked, how):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{chr(96 + x)}" for x in rng.zipf(1.6, rng.integers(1, 40)) if x < 27) for _ in range(100)] + ["wa wb wb wc"] * 60 + [None]
+    docs = [*enumerate(texts), (7, texts[7])]  # a row twice
+    queries = [(1, "wa wb we wb"), (2, "wc"), (3, "nothing"), (4, "wa wd wz"), (5, None)]
+    found = search.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, query string"), 4, **how)
+    sizes = [len((t or "").split()) for _, t in docs]
+    n, mean = len(docs), sum(sizes) / len(docs)
+    tf = [Counter((t or "").split()) for t in texts]
+    tf[7] = Counter({w: 2 * c for w, c in tf[7].items()})
+    want = {}
+    for q, line in queries:
+        score = {}
+        for i, held in enumerate(tf):
+            for w, times in Counter((line or "").split()).items():
+                if held[w]:
+                    df = sum(1 for x in tf if x[w])
+                    score[i] = score.get(i, 0) + times * math.log((n - df + 0.5) / (df + 0.5) + 1) * held[w] * 2.5 / (held[w] + 1.5 * (0.25 + 0.75 * sizes[i] / mean))
+        score = {i: round(x, 9) for i, x in score.items()}
+        low, high = min(score.values(), default=0), max(score.values(), default=0)
+        for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:4], 1):
+            want[q, r] = (i, round((score[i] - low) / (high - low), 9))
+    assert {(r.query_id, r.rank): (r.doc_id, round(r.score, 9)) for r in found.collect()} == want
+    assert ranked[0].count() <= 4 * 4 * (6 if how else 1)
+
+
+def test_halves_are_rounded_as_spark_rounds(spark):
+    values = [0.1234567895, -0.1234567895, 0.5e-9, 1.4999999999e-9, 2.5, -0.0, 1.0000000005, 0.3333333335]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 9) AS r").collect()
+    assert [k / 1e9 for k in nearest.rounded(np.array(values), 9)] == [r.r for r in rows]
