@@ -83,7 +83,8 @@ def shard(df: DataFrame, *, shards: int = 24, seed: int = 17, bucket_bytes: int
     rows = rows.toDF(*rows.columns[:-2], "bucket", "slot_in_bucket")
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__all"))
-    placed = rows.join(before, "bucket").withColumn("__pos", F.col("__before") + F.col("slot_in_bucket"))
+    # one row for each bucket of ``bucket_bytes``: sent to the tasks, else the rows would be shuffled once more
+    placed = rows.join(F.broadcast(before), "bucket").withColumn("__pos", F.col("__before") + F.col("slot_in_bucket"))
     low, extra = F.floor(F.col("__all") / shards), F.col("__all") % shards  # the first shards hold one more row
     edge = extra * (low + 1)
     in_long = F.col("__pos") < edge

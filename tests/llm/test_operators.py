@@ -140,6 +140,16 @@ def test_sharding(spark, sf, odd, empty):
     assert sorted(sharding.fisher_yates(50, np.random.default_rng(1))) == list(range(50))
 
 
+def test_rows_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were more buckets than Spark sends by itself
+    try:
+        df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+        plan = sharding.shard(df, size=F.lit(8), shards=4)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_one_id_spreads_over_all_shards(spark):
     df = spark.range(2400).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
     n = sharding.shard(df, size=F.lit(8)).groupBy("shard").count().collect()
