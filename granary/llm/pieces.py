@@ -14,7 +14,8 @@ so decoding gives back every text exactly.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,32 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class Memo(dict):
+    """What ``find`` gives for a key; at most ``most`` keys of up to ``longest`` characters are kept."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int, longest: int = 48) -> None:
+        self.find, self.most, self.longest = find, most, longest
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = found
+        return found
+
+
+class Known(dict):
+    """The bytes of ids; those of U+FFFD for an unknown one."""
+
+    def __missing__(self, key: int) -> bytes:
+        return b"\xef\xbf\xbd"
+
+
 class Pieces:
     """Scores of a piece model; the memo keeps at most ``most`` chunks of up to 48 characters."""
 
-    def __init__(self, model_file: str, most: int = 300_000) -> None:
+    def __init__(self, model_file: str, most: int = 600_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -43,13 +66,14 @@ class Pieces:
         for i, piece, score in ordinary:
             self.automaton.add_word(piece, (i, len(piece), score))
         self.automaton.make_automaton()
-        self.byte_ids, self.most, self.memo = byte_ids, most, {}
+        self.byte_ids, self.memo = byte_ids, Memo(self._chunk, most)
+        self.code = {i: i.to_bytes(4, "little") for i in [*(i for i, _, _ in ordinary), *byte_ids.values()]}
         self.unknown = min(score for _, _, score in ordinary) - 10
         self.window, self.longest = 1 << 16, max(len(piece) for _, piece, _ in ordinary)
         self.single = {piece for _, piece, _ in ordinary if len(piece) == 1}
         # a chunk starts at a marker after other characters; no piece may lie across
         self.chunked = not any(re.search(f"[^{MARK}]{MARK}", piece) for _, piece, _ in ordinary)
-        self.bytes_of = {i: piece.replace(MARK, " ").encode() for i, piece, _ in ordinary} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.bytes_of = Known({i: piece.replace(MARK, " ").encode() for i, piece, _ in ordinary} | {i: bytes([b]) for b, i in byte_ids.items()})
 
     @classmethod
     def of(cls, ordinary: list[tuple[int, str, float]], byte_ids: dict[int, int]) -> Pieces:
@@ -63,6 +87,8 @@ class Pieces:
         Every ``window`` characters the part on which all paths that can go on
         agree is settled, so a chunk without blanks holds no more than that.
         """
+        if len(chunk) < self.window and self.single.issuperset(chunk):
+            return self._covered(chunk)
         n, ids, base, done = len(chunk), [], 0, 0  # positions up to done are final, those before base are settled
         best, back = [0.0], [(0, 0)]
 
@@ -113,13 +139,24 @@ class Pieces:
             single(done)
         return ids + path(n)
 
+    def _covered(self, chunk: str) -> list[int]:
+        """As ``viterbi`` for a chunk of one window whose characters are all pieces: every position is reached, none by bytes."""
+        best, back = [float("-inf")] * len(chunk) + [0.0], [(0, 0, 0.0)] * len(chunk)  # by the last character; the start is at -1
+        for last, piece in self.automaton.iter(chunk):
+            _, length, score = piece
+            value = best[last - length] + score
+            if value > best[last]:
+                best[last] = value
+                back[last] = piece
+        at, found = len(chunk) - 1, []
+        while at >= 0:
+            i, length, _ = back[at]
+            found.append(i)
+            at -= length
+        return found[::-1]
+
     def _chunk(self, chunk: str) -> bytes:
-        found = b"".join(i.to_bytes(4, "little") for i in self.viterbi(chunk))
-        if len(chunk) <= 48:
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            self.memo[chunk] = found
-        return found
+        return b"".join(map(self.code.__getitem__, self.viterbi(chunk)))
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers; none for the empty text."""
@@ -133,16 +170,13 @@ class Pieces:
                 out += own
             else:
                 part = MARK + part
-            memo = self.memo
-            for chunk in (m[0] for m in CHUNK.finditer(part)) if self.chunked else [part] if part else []:
-                found = memo.get(chunk)
-                out.append(self._chunk(chunk) if found is None else found)
+            chunks = map(itemgetter(0), CHUNK.finditer(part)) if self.chunked else [part] if part else []
+            out.append(b"".join(map(self.memo.__getitem__, chunks)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of the ids, without the blank that encoding puts first; U+FFFD for unknown ids and for what is no UTF-8."""
-        table, unknown = self.bytes_of, "\ufffd".encode()
-        text = b"".join([table.get(i, unknown) for i in memoryview(ids).cast("I")]) if ids else b""
+        text = b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I"))) if ids else b""
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 

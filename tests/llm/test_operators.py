@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -236,6 +237,21 @@ def test_pieces_round_trip_and_best_score(spark, odd, empty):
         assert model.decode(model.encode(text)) == text
 
 
+def test_a_new_word_takes_no_calls_for_each_character(spark, sf):
+    model, calls = pieces.Pieces(PIECES), []
+    texts = [r.text or "" for r in docs_of(spark, sf).select("text").collect()]
+    words = list({c for t in texts for c in pieces.CHUNK.findall("▁" + t.replace(" ", "▁")) if model.single.issuperset(c)})[:5000]
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)
+    try:
+        found = [model.viterbi(c) for c in words]
+    finally:
+        sys.setprofile(before)
+    assert len(calls) < 4 * len(words)  # 36 for each before
+    model.window = 1  # from here on settled at each character
+    assert all(model.viterbi(c) == x for c, x in zip(words, found, strict=True))
+
+
 def all_cuts(text, scores):
     if not text:
         yield []
