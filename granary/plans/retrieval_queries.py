@@ -9,6 +9,7 @@ from granary.functions import scalars, text
 from granary.operators import ranking, search
 from granary.plans.registry import query, table
 from granary.plans.search_queries import BM25_CTE, LISTS_CTE, NTH, VECTOR_CTE, keyword_hits, vector_hits, vector_queries
+from granary.sources import files
 
 WORDS = "[\\pL\\pN_]+"
 OVERLAP_SQL = f"CAST(len(list_intersect(list_distinct(regexp_extract_all(lower(b.text), '{WORDS}')), list_distinct(regexp_extract_all(lower(substr(d.text, 1, 500)), '{WORDS}')))) AS INTEGER)"
@@ -16,10 +17,10 @@ WITH_DOCS = f"WITH {BM25_CTE}, h AS (SELECT kw.query_id, kw.doc_id, kw.rank, kw.
 
 
 def hits(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
-    """query_id, doc_id, rank, score with query, content, lang and source."""
+    """query_id, doc_id, rank, score with query, content, lang and source; hits meet the documents first, as a small table that is sent to them."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), "lang", "source")
-    return keyword_hits(spark, d, k).join(b, "query_id").join(c, "doc_id")
+    return keyword_hits(spark, d, k).join(c, "doc_id").join(b, "query_id")
 
 
 def overlap(head: int = 500) -> F.Column:
@@ -67,6 +68,7 @@ COPIES_SQL = (
 
 def domain_and_common(spark: SparkSession, d: str) -> DataFrame:
     h = hits(spark, d).select("query_id", "doc_id", "rank", "score", "lang", scalars.content_key(F.col("content")).alias("content_key"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("origin"))
+    h = files.landed(h, "keyed-hits")
     return search.without_copies(h.filter("lang = 'en'"), h.filter("lang = 'fr'"))
 
 
@@ -123,7 +125,7 @@ WIDE_SQL = PASS_SQL.format(docs=3, ratio=0.75, similarity=0.49, gate=GATE_SQL.fo
 )
 def i17_graduated_retry(spark: SparkSession, d: str) -> DataFrame:
     """More rows and lower floors first, then the other collections; a query that never passes keeps the last try."""
-    h = hits(spark, d).withColumn("similarity", 1 - F.col("rank") / 10.0)
+    h = files.landed(hits(spark, d), "hits").withColumn("similarity", 1 - F.col("rank") / 10.0)
     own = (F.col("lang") == "en") | (F.col("query_id") % 2 == 0)
     tries = [(own & (F.col("rank") <= 3), 0.9, 0.79), (own & (F.col("rank") <= 6), 0.75, 0.64), (F.col("rank") <= 9, 0.75, 0.49)]
     levels = [search.gate(h.filter(which), least_documents=3, least_ratio=r, least_similarity=s).select("query_id", "passed") for which, r, s in tries]
@@ -150,7 +152,7 @@ def i18_neighbouring_domains(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, place FROM (SELECT query_id, doc_id, final_k, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= final_k THEN 0 ELSE -overlap END, rank) AS INTEGER) AS place FROM k) WHERE place <= final_k"""
 )
 def i20_final_rerank(spark: SparkSession, d: str) -> DataFrame:
-    some = hits(spark, d).filter(F.col("rank") <= 6 + F.col("query_id") % 10)
+    some = files.landed(hits(spark, d).filter(F.col("rank") <= 6 + F.col("query_id") % 10), "hits")
     counts = some.groupBy("query_id").agg(search.final_k(F.count(F.lit(1))).alias("final_k"))
     return search.rerank(some.join(counts, "query_id"), F.col("final_k"), overlap()).select("query_id", "doc_id", F.col("rank").alias("place"))
 

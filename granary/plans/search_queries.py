@@ -136,7 +136,7 @@ def i07_mmr(spark: SparkSession, d: str) -> DataFrame:
 def i11_overlap_rerank(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    pairs = keyword_hits(spark, d).join(b, "query_id").join(c, "doc_id")
+    pairs = keyword_hits(spark, d).join(c, "doc_id").join(b, "query_id")
     return search.overlap_rerank(pairs, 5).select("query_id", "doc_id", "overlap", "rank")
 
 
@@ -204,7 +204,7 @@ def i19_merge_collections(spark: SparkSession, d: str) -> DataFrame:
 def i21_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     c = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    hits = keyword_hits(spark, d, 5).join(b, "query_id").join(c, "doc_id").withColumn("similarity", 1 - F.col("rank") / 10.0)
+    hits = keyword_hits(spark, d, 5).join(c, "doc_id").join(b, "query_id").withColumn("similarity", 1 - F.col("rank") / 10.0)
     return search.gate(hits).withColumn("ratio", F.round("ratio", 6)).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -11,6 +11,7 @@ import pytest
 
 from granary import plans
 from granary.operators import nearest, ranking, search, tables
+from granary.plans import retrieval_queries
 
 
 def test_customers_of_one_range_are_joined_once(spark, tmp_path, monkeypatch):
@@ -87,3 +88,18 @@ def test_halves_are_rounded_as_spark_rounds(spark):
     values = [0.1234567895, -0.1234567895, 0.5e-9, 1.4999999999e-9, 2.5, -0.0, 1.0000000005, 0.3333333335]
     rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 9) AS r").collect()
     assert [k / 1e9 for k in nearest.rounded(np.array(values), 9)] == [r.r for r in rows]
+
+
+def test_documents_stay_where_they_are_while_hits_come_to_them(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # the documents are larger, hits and benchmark are not
+    try:
+        plan = retrieval_queries.hits(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["u06_without_copies", "i08_single_query", "i17_graduated_retry", "i20_final_rerank"])
+def test_documents_are_read_for_hits_once(spark, sf, name):
+    plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # what is left reads the hits that were written
