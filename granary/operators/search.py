@@ -169,16 +169,19 @@ def gate(hits: DataFrame, *, least_documents: int = 2, least_ratio: float = 0.3,
     """The retrieval verdict per query from (query_id, query, content, similarity), one row per hit.
 
     Keyword ratio over all hits' texts (1 without keywords); mean over positive
-    similarities, over all if none is positive; no similarity, no check.
+    similarities, over all if none is positive; no similarity, no check. Means
+    are those of decimals: a sum of doubles depends on the order of the rows, and
+    with it whether a mean that equals the floor passes.
     """
+    mean = lambda c: F.avg(c.cast("decimal(28,24)")).cast("double")  # noqa: E731  the values lie between 0 and 1
     words = text.gate_keywords(F.col("query"))
     low = F.lower(F.coalesce("content", F.lit("")))
     rows = hits.withColumn("held", F.array_distinct(F.filter(words, lambda w: F.contains(low, F.lower(w)))))
     per = rows.groupBy("query_id", "query").agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"),
-        F.avg(F.when(F.col("similarity") > 0, F.least(F.lit(1.0), "similarity"))).alias("positive"),
-        F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity"))).alias("any"),
+        mean(F.when(F.col("similarity") > 0, F.least(F.lit(1.0), "similarity"))).alias("positive"),
+        mean(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity"))).alias("any"),
     )
     n = F.size(words)
     ratio = F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.filter(words, lambda w: F.array_contains("held", w))) / n)

@@ -37,6 +37,13 @@ def test_mmr_against_a_plain_loop(spark):
     assert [r.id for r in search.mmr(df, 5).orderBy("rank").collect()] == chosen
 
 
+@pytest.mark.parametrize("ranks", [(1, 2, 4, 5, 6), (6, 5, 4, 2, 1), (6, 4, 1, 2, 5)])
+def test_a_mean_on_the_floor_passes_in_any_order_of_rows(spark, ranks):
+    rows = [(1, "tax", "tax", 1 - r / 10.0) for r in ranks]  # 3.2 / 5
+    hits = spark.createDataFrame(rows, "query_id long, query string, content string, similarity double").coalesce(1)
+    assert [(r.similarity, r.passed) for r in search.gate(hits, least_similarity=0.64).collect()] == [(0.64, True)]
+
+
 def test_incomplete_source_deactivates_nothing(spark):
     old = spark.createDataFrame([("a", 1, 5), ("b", 2, 5)], "source string, id int, v int")
     new = spark.createDataFrame([("a", 3, 1)], "source string, id int, v int")
