@@ -116,6 +116,80 @@ def by_cosine(k: int, digits: int, schema: pa.Schema) -> Callable[[pa.Table, pa.
     return found
 
 
+def nearest_of_each(digits: int, least: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows (query_id, label, odd, key): for each query of a block, the distance of the nearest other vector of each label of a cell, where the cosine is at least ``least``.
+
+    ``odd`` is 1 where a distance to that label is not a number. A product finds
+    the nearest; of those that it cannot tell apart, others than the first are
+    looked at only where the key may turn on them.
+    """
+    unsure = 1e-12
+
+    def found(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, wanted = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+        kinds = pc.unique(left.column("label"))
+        codes = pc.index_in(left.column("label"), value_set=kinds).to_numpy()
+        vectors, queries = matrix(left.column("v")), matrix(right.column("q"))
+        order = np.argsort(ids, kind="stable")  # each query's own rows among the vectors
+        low, high = (np.searchsorted(ids[order], wanted, side) for side in ("left", "right"))
+        own_row = np.repeat(np.arange(len(wanted)), high - low)
+        own_col = order[np.repeat(high - np.cumsum(high - low), high - low) + np.arange(len(own_row))]
+
+        def own(which: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Own pairs by their places in ``which`` and ``places``."""
+            row, col = np.full(len(wanted), -1), np.full(len(ids), -1)
+            row[which], col[places] = np.arange(len(which)), np.arange(len(places))
+            row, col = row[own_row], col[own_col]
+            held = (row >= 0) & (col >= 0)
+            return row[held], col[held]
+
+        out = []
+        for size in np.unique(queries[0]):
+            at, v, nv, vague = vectors_of(size, *vectors)
+            qat, q, nq, qvague = vectors_of(size, *queries)
+            by = np.argsort(codes[at], kind="stable")
+            at, v, nv = at[by], v[by], nv[by]
+            starts = np.flatnonzero(np.diff(codes[at], prepend=-1))
+            ends = np.append(starts[1:], len(at))
+            unit = np.ascontiguousarray((v / nv[:, None]).T)
+            mine, self = own(qat, at)
+            step = max(1, ELEMENTS // max(1, len(v)))
+            keyed = lambda r, c: rounded(1 - in_order(q[r] * v[c]) / (nq[r] * nv[c]), digits)  # noqa: E731, B023
+            for i in range(0, len(q) if len(v) else 0, step):
+                scores = (q[i : i + step] / nq[i : i + step, None]) @ unit
+                here = (mine >= i) & (mine < i + step)
+                scores[mine[here] - i, self[here]] = -np.inf
+                best = np.stack([a + scores[:, a:b].argmax(axis=1) for a, b in zip(starts, ends, strict=True)], axis=1)
+                high = np.take_along_axis(scores, best, axis=1)
+                row, part = np.nonzero(high >= least - 2 * 10.0**-digits - unsure)
+                keys, edge = np.empty(len(row), np.int64), np.empty(len(row))
+                for j in range(0, len(row), 1 << 14):
+                    r, c = row[j : j + (1 << 14)], best[row[j : j + (1 << 14)], part[j : j + (1 << 14)]]
+                    keys[j : j + (1 << 14)] = keyed(i + r, c)
+                    scaled = np.abs(1 - scores[r, c]) * 10.0**digits
+                    edge[j : j + (1 << 14)] = np.abs(scaled - np.floor(scaled) - 0.5)
+                for j in np.flatnonzero(edge < 4 * unsure * 10.0**digits):
+                    r, a, b = row[j], starts[part[j]], ends[part[j]]
+                    close = a + np.flatnonzero(scores[r, a:b] >= high[r, part[j]] - unsure)
+                    for k in range(0, len(close), 1 << 14):
+                        keys[j] = min(keys[j], keyed(np.full(len(close[k : k + (1 << 14)]), i + r), close[k : k + (1 << 14)]).min())
+                kept = 1 - keys / 10.0**digits >= least
+                out.append((qat[i + row[kept]], codes[at[starts[part[kept]]]], np.zeros(kept.sum(), np.int64), keys[kept]))
+            for which, places in ((qat, vague), (qvague, np.concatenate([at, vague]))):
+                some, code = np.unique(codes[places], return_inverse=True)
+                others = np.tile(np.bincount(code, minlength=len(some)), (len(which), 1))
+                row, col = own(which, places)
+                np.subtract.at(others, (row, code[col]), 1)
+                row, col = np.nonzero(others)
+                out.append((which[row], some[col], np.ones(len(row), np.int64), np.zeros(len(row), np.int64)))
+        if not out:
+            return schema.empty_table()
+        row, code, odd, key = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([right.column("query_id").take(pa.array(row)), kinds.take(pa.array(code)), pa.array(odd), pa.array(key)], schema=schema)
+
+    return found
+
+
 def counted(schema: pa.Schema) -> Callable:
     """Documents (doc_id, t) as rows (doc_id, dl, term, tf) of their distinct tokens, with a row of the empty term for each document."""
 

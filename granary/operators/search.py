@@ -7,7 +7,7 @@ Query tokens count as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from granary.functions import scalars, text
+from granary.functions import text
 from granary.operators import nearest, ranking
 from granary.sources import files
 
@@ -105,14 +105,6 @@ def meet(rows: DataFrame, queries: DataFrame, on: Column, *, row_id: str, query_
     return left.join(right, ["__cell", "__block"]).filter(on).drop("__cell", "__block")
 
 
-def distances(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 4096, cells: int = 64, keep: Sequence[str] = ()) -> DataFrame:
-    """query_id, vec_id, distance and the columns ``keep`` of the vectors: each vector's cosine distance to each of ``queries`` (query_id, q)."""
-    v = vectors.select(*keep, F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), scalars.norm(F.col(vec_col)).alias("nv"))
-    q = queries.select("query_id", "q", scalars.norm(F.col("q")).alias("nq"))
-    distance = F.round(1 - scalars.dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv")), digits)
-    return meet(v, q, F.lit(True), row_id="vec_id", block=block, cells=cells).select("query_id", "vec_id", distance.alias("distance"), *keep)
-
-
 def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 2048, cells: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest by cosine to each of ``queries`` (query_id, q).
 
@@ -130,6 +122,23 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
     return ranking.top(near, k, "query_id", [F.col("odd"), F.col("key"), F.col("vec_id")]).select("query_id", "rank", "vec_id", distance.alias("distance"))
 
 
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, by: str, least: float, *, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 9, block: int = 2048, cells: int | None = None) -> DataFrame:
+    """query_id, ``by``, similarity: the highest cosine of each of ``queries`` (query_id, q) with a vector of another id, for each value of ``by`` where it is ``least`` or more.
+
+    Cells and blocks are those of ``vector``; a cell gives one row for each query
+    and value. A value with a cosine that is not a number has that.
+    """
+    cells = cells or -(-(vectors.count() or 1) // CELL)
+    blocks = -(-(queries.count() or 1) // block)
+    v = vectors.filter(F.col(id_col).isNotNull() & F.col(by).isNotNull())
+    v = v.select(F.col(id_col).alias("vec_id"), F.col(by).alias("label"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int").alias("cell"))
+    v = v if blocks > 1 else v.repartition(cells, "cell")
+    out = T.StructType([queries.schema["query_id"], v.schema["label"], T.StructField("odd", T.LongType()), T.StructField("key", T.LongType())])
+    near = met(v, queries.select("query_id", "q"), lambda schema: nearest.nearest_of_each(digits, least, schema), out, cells, blocks)
+    best = near.groupBy("query_id", F.col("label").alias(by)).agg(F.max("odd").alias("odd"), F.min("key").alias("key"))
+    return best.select("query_id", by, F.when(F.col("odd") == 0, 1 - F.col("key") / 10.0**digits).otherwise(float("nan")).alias("similarity"))
+
+
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int, *, vector_weight: float = 0.7, rrf_k: int = 30, digits: int = 9) -> DataFrame:
     """Weighted fusion of (query_id, rank, id, score) lists; a query without keyword hits keeps its vector scores."""
     lists = vector_hits.withColumn("list_no", F.lit(0)).withColumn("weight", F.lit(vector_weight)).unionByName(keyword_hits.withColumn("list_no", F.lit(1)).withColumn("weight", F.lit(1 - vector_weight)))

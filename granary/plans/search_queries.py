@@ -247,12 +247,11 @@ def t10_guaranteed_slots(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VECTOR_CTE}, s AS (SELECT query_id, label, max(greatest(0, 1 - distance)) AS sim FROM dist WHERE vec_id <> query_id AND 1 - distance >= 0.3 GROUP BY query_id, label) SELECT CAST(q.vec_id AS BIGINT) AS query_id, l.label, round(coalesce(sim, 0.0), 6) AS similarity FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT DISTINCT label FROM embeddings) l ON true LEFT JOIN s ON s.query_id = q.vec_id AND s.label = l.label")
 def j11_lookup_max(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    # the label travels with its vector, so only the best of each label and query leaves a task
-    near = search.distances(e, vector_queries(spark, d), keep=["label"]).filter("vec_id <> query_id AND 1 - distance >= 0.3")
-    best = near.groupBy("query_id", "label").agg(F.max(F.greatest(F.lit(0.0), 1 - F.col("distance"))).alias("sim"))
-    every = e.agg(F.collect_set("label").alias("labels"))  # one row, as wide as there are classes
-    wanted = vector_queries(spark, d).select("query_id").crossJoin(F.broadcast(every)).select("query_id", F.explode("labels").alias("label"))
-    return wanted.join(best, ["query_id", "label"], "left").select("query_id", "label", F.round(F.coalesce("sim", F.lit(0.0)), 6).alias("similarity"))
+    best = search.nearest_of_each(e, vector_queries(spark, d), "label", 0.3)
+    labels = F.broadcast(e.select("label").distinct())  # a row for each class
+    wanted = vector_queries(spark, d).select("query_id").crossJoin(labels)
+    # the SQL rounds the product with 10^6; F.round takes the shortest decimal, which may be a half where the product is none
+    return wanted.join(best, ["query_id", "label"], "left").select("query_id", "label", (F.round(F.coalesce("similarity", F.lit(0.0)) * 1e6) / 1e6).alias("similarity"))
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections import Counter
+from functools import reduce
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -48,6 +50,44 @@ def test_only_the_nearest_of_a_cell_leave_it(spark, ranked):
     assert ranked[0].count() <= 12 * 3 * 4  # 12 * 600 before
 
 
+@pytest.mark.parametrize("digits", [9, 12])
+def test_only_the_nearest_of_each_label_leaves_a_cell(spark, monkeypatch, digits):
+    rng = np.random.default_rng(9)
+    seeds = rng.normal(size=(60, 8))
+    vectors = np.concatenate([seeds, seeds + rng.normal(size=seeds.shape) * 1e-13, np.repeat(seeds[:1], 180, axis=0)])[rng.permutation(300)]  # near and exact copies
+    labels = [int(x) for x in rng.integers(0, 5, 300)]
+    e = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(vectors, labels, strict=True))], "vec_id long, embedding array<double>, label int").repartition(3)
+    q = e.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    met, seen = search.met, []
+    monkeypatch.setattr(search, "met", lambda *a: seen.append(met(*a)) or seen[-1])
+    found = {(r.query_id, r.label): r.similarity for r in search.nearest_of_each(e, q, "label", 0.3, digits=digits, block=7, cells=4).collect()}
+    dot = lambda a, b: reduce(lambda s, x: s + x, (a * b).tolist(), 0.0)
+    norms, want = [math.sqrt(dot(x, x)) for x in vectors], {}
+    for i in range(0, 300, 10):
+        for j in set(range(300)) - {i}:
+            value = 1 - nearest.rounded(np.array([1 - dot(vectors[i], vectors[j]) / (norms[i] * norms[j])]), digits)[0] / 10.0**digits
+            if value >= 0.3:
+                want[i, labels[j]] = max(value, want.get((i, labels[j]), 0.3))
+    assert found == want
+    assert seen[0].count() <= 30 * 5 * 4  # 30 * 299 before
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_lookup_of_odd_vectors_equals_its_sql(spark, tmp_path, kind):
+    inf, rng = float("inf"), np.random.default_rng(10)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(90)]
+    rows[50] = (50, [0.0] * 4, 1)
+    rows += [(100, [1.0, 0.0, 0.0, 0.0], 9), (101, [0.0] * 4, 4), (102, [inf, 1.0, 0.0, 0.0], 5), (103, None, 6), (None, [1.0, 0.0, 0.0, 0.0], 7), (104, [1.0, 0.0, 0.0, 0.1], None), (0, [0.0, 1.0, 0.0, 0.0], 8), (150, None, 2)]
+    rows += [(200 + i, [c, math.sqrt(1 - c * c), 0.0, 0.0], 10 + i) for i, c in enumerate(np.arange(0.3000005, 0.6, 0.002).tolist() + [0.5047875]) if (200 + i) % 50]  # halves of the last digit that is left
+    spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sql.sql(f"SELECT query_id, label, similarity FROM ({plans.SQL['j11_lookup_max']})").fetchall()
+    df = plans.QUERIES["j11_lookup_max"](spark, str(tmp_path))
+    assert "CoGroup" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 def test_vectors_without_a_distance_come_last(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 1.0]), (6, [1.0]), (50, None), (7, [-1.0, 0.0])]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
